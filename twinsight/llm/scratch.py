@@ -6,6 +6,7 @@ loss of executors and needs no cache. Everything but the tables asked to stay is
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,8 +34,15 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame, keep: bool = False) -> DataFrame:
-        """Writes ``df`` once and reads it back with its own schema (no inference job)."""
+    def table(self, df: DataFrame, keep: bool = False, tidy: bool = False) -> DataFrame:
+        """Writes ``df`` once and reads it back with its own schema (no inference job).
+
+        ``tidy`` first lets Spark's cleaner see that earlier steps are over, so their shuffle files go before this
+        step makes its own.
+        """
+        if tidy:
+            gc.collect()
+            self.spark._jvm.System.gc()
         path = f"{self.root}/{uuid.uuid4().hex}"
         if not keep:
             self.paths.append(path)
