@@ -111,3 +111,24 @@ def shingles(word_hash: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+@lru_cache(maxsize=8)
+def hash_family(slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers (odd) and addends of ``slots`` 32-bit linear permutations."""
+    x = mix(np.arange(2 * slots, dtype=U64) + U64(seed * 1_000_003 + 1))
+    return (x[:slots] >> U64(32)).astype(np.uint32) | np.uint32(1), (x[slots:] >> U64(32)).astype(np.uint32)
+
+
+def minhash(x: np.ndarray, off: np.ndarray, slots: int, seed: int = 0) -> np.ndarray:
+    """(rows, slots) least values of each permutation over each row's elements; a row without any has the top value."""
+    out = np.full((slots, len(off) - 1), 0xFFFFFFFF, np.uint32)
+    full = np.flatnonzero(np.diff(off))
+    if len(full):
+        low, at = (x >> U64(32)).astype(np.uint32), off[full]
+        v = np.empty_like(low)
+        for i, (a, b) in enumerate(zip(*hash_family(slots, seed), strict=True)):
+            np.multiply(low, a, out=v)
+            v += b
+            out[i, full] = np.minimum.reduceat(v, at)
+    return np.ascontiguousarray(out.T)
