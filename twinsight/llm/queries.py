@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, mixing, packing, suffix
+from . import chat, fingerprint, jaccard, langid, mixing, packing, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), **vocabulary())
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "copies")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": op1_chat_formatting,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_packing": op4_packing,
+        "op5_jaccard_join": op5_jaccard_join,
         "op7_language_id": op7_language_id,
         "op8_source_mixing": op8_source_mixing,
         "op9_fingerprints": op9_fingerprints,
