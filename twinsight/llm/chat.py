@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 CHUNK = 1024
 LOW = (1 << 31) - 1
 
@@ -63,8 +65,9 @@ def render(conversations: DataFrame, start: str = "<|{role}|>\n", end: str = "<|
 
     ``start`` may name ``{role}``; ``end`` is literal. ``copies`` counts the equal conversations a row stands for.
     """
-    turns = rolling(conversations, **names)
-    kept = collapse(turns)
+    with Scratch(conversations.sparkSession, "chat") as s:
+        turns = s.table(rolling(conversations, **names), keep=True)
+        kept = s.table(collapse(turns), keep=True)
     head, _, tail = start.partition("{role}")
     line = F.concat(F.lit(head), F.col("role"), F.lit(tail), F.col("text"), F.lit(end))
     rows = turns.join(kept.select("key", "n", "copies"), "key")
