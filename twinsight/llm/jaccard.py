@@ -206,19 +206,21 @@ def groups(threshold: float):
     return run
 
 
-def alike(s: Scratch, units: Callable[[], DataFrame], bands: DataFrame, threshold: float) -> DataFrame:
-    """(uid, root, links) of the units that have a link. ``bands``: rows (uid, key); ``units()``: rows (uid, text), one
-    for each distinct text at least where links are possible."""
+def alike(s: Scratch, units: Callable[[DataFrame], DataFrame], bands: DataFrame, threshold: float) -> DataFrame:
+    """(uid, root, links) of the units that have a link. ``bands``: rows (uid, key); ``units(wanted)``: one row
+    (uid, text) for each of the wanted uids at least."""
+    bands = bands.select("uid", "key")
     least = bands.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).filter(F.col("low") != F.col("high"))
     edges = bands.join(least, "key").filter(F.col("uid") != F.col("low")).select(F.col("uid").alias("a"), F.col("low").alias("b"))
     found = s.table(components(s, edges))
     part = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
     sizes = found.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     member = found.join(sizes, "root").withColumn("x", F.pmod(part, F.col("blocks")).cast("int"))
-    rows = units().join(member.select(F.col("node").alias("uid"), "root", "x", "blocks").hint("shuffle_hash"), "uid")
+    kind = dict(bands.dtypes)["uid"]
+    rows = units(found.select(F.col("node").alias("uid"))).join(member.select(F.col("node").alias("uid"), "root", "x", "blocks").hint("shuffle_hash"), "uid")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("x", "other").alias("a"), F.greatest("x", "other").alias("b"), (F.col("x") > F.col("other")).alias("half"), "uid", "text").withColumnsRenamed({"a": "x", "b": "y"})
-    links = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "uid").mapInArrow(groups(threshold), "uid binary, label binary, links long")
+    links = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "uid").mapInArrow(groups(threshold), f"uid {kind}, label {kind}, links long")
     links = s.table(links.filter("links > 0"), tidy=True)
     final = components(s, links.select(F.col("uid").alias("a"), F.col("label").alias("b")))
     return links.groupBy("uid").agg(F.sum("links").alias("links")).join(final.withColumnRenamed("node", "uid"), "uid")
@@ -246,7 +248,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         slim = s.table(d.mapInArrow(_nonempty(keys), f"doc_id {kind}, dk long, uid binary, keys array<long>"))
         classes = s.table(slim.groupBy("uid").agg(F.min("dk").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
         reps = classes.select("uid", F.col("rep").alias("dk"))
-        linked = s.table(alike(s, lambda: d.select("uid", "text", "dk").join(reps, ["uid", "dk"]).dropDuplicates(["uid"]).select("uid", "text"), classes.select("uid", F.explode("keys").alias("key")), threshold))
+        linked = s.table(alike(s, lambda _: d.select("uid", "text", "dk").join(reps, ["uid", "dk"]).dropDuplicates(["uid"]).select("uid", "text"), classes.select("uid", F.explode("keys").alias("key")), threshold))
         named = slim.join(classes.select("uid", "copies"), "uid").join(linked, "uid", "left")
         own = F.when(F.size("keys") == 0, F.concat(F.lit("="), F.col("dk").cast("string")).cast("binary")).otherwise(F.coalesce("root", "uid"))
         named = s.table(named.select("doc_id", "dk", own.alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.when(F.size("keys") == 0, 1).otherwise(F.col("copies")).cast("long").alias("copies")))
