@@ -3,12 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinsight.llm import langid
+from twinsight.llm import jaccard, langid, mixing, packing, suffix
+from twinsight.llm.queries import vocabulary
 
-STAGES = []
 
-#: Newton iterations and suffix construction have no SQL; the tests hold run() against a brute-force version.
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (``und``) go."""
+    return langid.keep_known(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near or exact copies the document with the least id stays."""
+    return jaccard.keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 200-byte strings that occur twice are cut out of the texts; ``n_chars`` follows."""
+    cut = suffix.remove_repeats(docs, carry=True)
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    mixed = mixing.mix_sources(docs, carry=True)
+    return mixed.withColumn("again", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, **vocabulary())
+
+
+STAGES = [("language_id", language_id), ("jaccard_join", jaccard_join), ("suffix_dedup", suffix_dedup), ("source_mixing", source_mixing), ("packing", pack)]
+
+#: Newton iterations and tokenisers have no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
