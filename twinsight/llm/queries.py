@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, jaccard, langid, lm, mixing, packing, passages, suffix
+from . import chat, fingerprint, jaccard, langid, lm, mixing, packing, passages, search, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "copies")
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter(F.col("doc_id") % 50 == 0))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_packing": op4_packing,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_topk_search": op6_topk_search,
         "op7_language_id": op7_language_id,
         "op8_source_mixing": op8_source_mixing,
         "op9_fingerprints": op9_fingerprints,
@@ -92,5 +98,29 @@ GROUP BY k.conv_id, k.n, k.copies
 """
 
 
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+  FROM documents
+), p AS (
+  SELECT doc_id, term, count(*)::DOUBLE AS tf FROM w GROUP BY ALL
+), len AS (
+  SELECT doc_id, count(*)::DOUBLE AS n FROM w GROUP BY doc_id
+), s AS (
+  SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM w)::DOUBLE / (SELECT count(*) FROM documents) AS avg
+), df AS (
+  SELECT term, count(*)::DOUBLE AS n FROM p GROUP BY term
+), hit AS (
+  SELECT q.doc_id AS query_id, p.doc_id,
+         round(sum(greatest(0.01::DOUBLE, ln(1 + (s.n - df.n + 0.5) / (df.n + 0.5))) * (p.tf * 2.2::DOUBLE) / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len.n / s.avg))), 9) AS score
+  FROM p AS q JOIN p USING (term) JOIN df USING (term) JOIN len ON len.doc_id = p.doc_id CROSS JOIN s
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit
+)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op6_topk_search": OP6_SQL}
