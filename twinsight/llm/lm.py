@@ -246,8 +246,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             yield b.ask(key)
 
     with Scratch(spark, "lm") as s:
-        asked = d.select("block", "held_out", "text").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(ask, ASK)
-        replies = s.table(asked.repartition(blocks, "shard").mapInArrow(answer, REPLY), keep=True, tidy=True)
+        asked = lambda: d.select("block", "held_out", "text").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(ask, ASK)
+        replies = s.table(asked().repartition(blocks, "shard").mapInArrow(answer, REPLY), keep=True, tidy=True)
+        s.tidy()  # the questions are answered: their shuffle files can go before texts move again
     total = kinds = 0
     hot_fan: dict[int, int] = {}
     for r in replies.filter("block = -1").collect():  # a row for each shard

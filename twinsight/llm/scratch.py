@@ -41,14 +41,18 @@ class Scratch:
         step makes its own.
         """
         if tidy:
-            gc.collect()
-            self.spark._jvm.System.gc()
+            self.tidy()
         path = f"{self.root}/{uuid.uuid4().hex}"
         if not keep:
             self.paths.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets Spark's cleaner find what no DataFrame refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
