@@ -1,0 +1 @@
+"""Overlap and duplicate detection for work items, on Spark."""
