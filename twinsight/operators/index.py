@@ -25,13 +25,19 @@ def entries(items: DataFrame, config: Bm25 = Bm25()) -> DataFrame:
     return rows.select("number", F.size("tokens").cast("long").alias("len"), counted(F.col("tokens")).alias("terms"))
 
 
+def _rows(entries: DataFrame, what: str, *keep: str) -> DataFrame:
+    """One row ``t`` for each element. Outer, then filtered: for an inner explode the optimiser infers a size filter and
+    pushes it, with the whole tokenizer inlined into lambdas, below the projection."""
+    return entries.select(*keep, F.explode_outer(what).alias("t")).filter("t is not null")
+
+
 def postings(entries: DataFrame) -> DataFrame:
     """(number, len, term, tf)."""
-    return entries.select("number", "len", F.explode("terms").alias("t")).select("number", "len", F.col("t.term").alias("term"), F.col("t.n").alias("tf"))
+    return _rows(entries, "terms", "number", "len").select("number", "len", F.col("t.term").alias("term"), F.col("t.n").alias("tf"))
 
 
 def document_frequency(entries: DataFrame) -> DataFrame:
-    return entries.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return _rows(entries, "terms.term").groupBy(F.col("t").alias("term")).agg(F.count("*").alias("df"))
 
 
 def statistics(entries: DataFrame) -> DataFrame:
@@ -54,8 +60,8 @@ def fold_entries(base: DataFrame, new: DataFrame) -> DataFrame:
 
 def fold_frequency(base_df: DataFrame, base: DataFrame, new: DataFrame) -> DataFrame:
     """Exact document frequencies after a delta: the base's, minus superseded entries, plus new ones."""
-    gone = base.join(new.select("number"), "number", "left_semi").select(F.explode("terms.term").alias("term"), F.lit(-1).cast("long").alias("df"))
-    come = new.select(F.explode("terms.term").alias("term"), F.lit(1).cast("long").alias("df"))
+    gone = _rows(base.join(new.select("number"), "number", "left_semi"), "terms.term").select(F.col("t").alias("term"), F.lit(-1).cast("long").alias("df"))
+    come = _rows(new, "terms.term").select(F.col("t").alias("term"), F.lit(1).cast("long").alias("df"))
     return base_df.unionByName(gone).unionByName(come).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
 

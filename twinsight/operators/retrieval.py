@@ -34,7 +34,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct (qid, term, exclude) of title and body."""
     tokens = F.array_distinct(F.concat(tokenize(F.col("title")), tokenize(F.col("body"))))
     exclude = F.col("exclude") if "exclude" in queries.columns else F.lit(None).cast("long")
-    return queries.select("qid", exclude.alias("exclude"), F.explode(tokens).alias("term"))
+    return queries.select("qid", exclude.alias("exclude"), F.explode_outer(tokens).alias("term")).filter("term is not null")
 
 
 def bm25(index: Index, queries: DataFrame, k: int = Retrieval.per_list, config: Bm25 = Bm25()) -> DataFrame:
