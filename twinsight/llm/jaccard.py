@@ -36,8 +36,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 TOLERANCE = 1e-5
 STEP = 8
-BLOCK = 2048
-COLUMNS = 4096
+BLOCK = 1024
+COLUMNS = 2048
 
 
 def text_shingles(data: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
