@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, U64, mix, pieces, prefix_hash, rows_of, span_hash, words
 from .scratch import Scratch
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 BEGIN, END = U64(0x5EED_0F_BE61), U64(0x5EED_0F_E4D0)
 SAMPLE_ROWS = 2000
 ASK = "shard int, block int, kind int, words binary, counts binary, fanout binary, heads binary, tails binary, pairs binary"
