@@ -25,7 +25,8 @@ from .scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 64
 STEPS, STEP = 60, 3.0
-CORRECTIONS = 5
+CORRECTIONS = 4
+LARGEST = 512
 
 
 def word_count(text: Column) -> Column:
@@ -81,18 +82,38 @@ def solve_duals(s: Scratch, hist: DataFrame, aims: DataFrame, most: float, toler
 
 
 def round_classes(s: Scratch, rated: DataFrame, most: int) -> DataFrame:
-    """Copies ``k`` of each (key, size) class from its rate: rounded along sizes, then corrected towards the target."""
+    """Copies ``k`` of each (key, size) class from its rate.
+
+    The ``LARGEST`` sizes of a source are rounded one after another, largest first, each taking over the error in words
+    of those before; further sizes are rounded along their running sum. What is left is corrected by the copies of
+    that size that come closest, a few times.
+    """
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.col("size").desc()))
+    ranked = s.table(rated.withColumn("r", order))
+    top = ranked.filter(F.col("r") <= LARGEST).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "size", "n", "rate"))).alias("c"))
+    kind = "struct<error:double,done:array<struct<size:bigint,k:bigint>>>"
+
+    def take(acc, x):
+        want = acc["error"] + x["n"] * x["rate"] * x["size"]
+        k = F.greatest(F.lit(0), F.least(F.when(x["size"] > 0, F.round(want / F.greatest(x["size"], F.lit(1)))).otherwise(x["n"]).cast("long"), most * x["n"]))
+        return F.struct((want - k * x["size"]).alias("error"), F.concat(acc["done"], F.array(F.struct(x["size"].alias("size"), k.alias("k")))).alias("done")).cast(kind)
+
+    none = F.struct(F.lit(0.0).alias("error"), F.array().cast("array<struct<size:bigint,k:bigint>>").alias("done")).cast(kind)
+    fixed = top.select("key", F.explode(F.aggregate("c", none, take)["done"]).alias("x")).select("key", "x.size", F.col("x.k").alias("fixed"))
     down = Window.partitionBy("key").orderBy(F.col("size").desc())
     total = F.floor(F.sum(F.col("n") * F.col("rate")).over(down) + 0.5)
-    k = rated.withColumn("sum", total).withColumn("k", F.col("sum") - F.coalesce(F.lag("sum").over(down), F.lit(0)))
-    k = k.select("key", "size", "n", "rate", "target", F.greatest(F.lit(0), F.least(F.col("k"), most * F.col("n"))).cast("long").alias("k"))
+    k = ranked.withColumn("sum", total).withColumn("k", F.col("sum") - F.coalesce(F.lag("sum").over(down), F.lit(0)))
+    k = k.join(fixed, ["key", "size"], "left").withColumn("k", F.coalesce("fixed", F.greatest(F.lit(0), F.least(F.col("k"), most * F.col("n"))).cast("long")))
+    k = k.select("key", "size", "n", "rate", "target", "k")
     for _ in range(CORRECTIONS):
         k = s.table(k)
         gap = k.groupBy("key").agg((F.max("target") - F.sum(F.col("k") * F.col("size"))).alias("gap"))
-        can = (F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("k") < most * F.col("n")).otherwise(F.col("k") > 0)
-        left = F.abs(F.abs("gap") - F.col("size"))
-        pick = k.join(gap, "key").filter(can & (left < F.abs("gap"))).groupBy("key").agg(F.min(F.struct(left.alias("left"), F.col("size").alias("at"), F.signum("gap").cast("long").alias("sign"))).alias("p"))
-        k = k.join(pick.select("key", "p.at", "p.sign"), "key", "left").select("key", "size", "n", "rate", "target", F.when(F.col("size") == F.col("at"), F.col("k") + F.col("sign")).otherwise(F.col("k")).alias("k"))
+        room = F.when(F.col("gap") > 0, most * F.col("n") - F.col("k")).otherwise(F.col("k"))
+        times = F.greatest(F.lit(1), F.least(room, F.floor(F.abs("gap") / F.greatest(F.col("size"), F.lit(1)))))
+        left = F.abs(F.abs("gap") - times * F.col("size"))
+        pick = k.join(gap, "key").filter((F.col("size") > 0) & (room > 0) & (left < F.abs("gap")))
+        pick = pick.groupBy("key").agg(F.min(F.struct(left.alias("left"), F.col("size").alias("at"), (F.signum("gap").cast("long") * times).alias("add"))).alias("p"))
+        k = k.join(pick.select("key", "p.at", "p.add"), "key", "left").select("key", "size", "n", "rate", "target", F.when(F.col("size") == F.col("at"), F.col("k") + F.col("add")).otherwise(F.col("k")).alias("k"))
     return k
 
 
