@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tidy(self) -> None:
-        """Lets Spark's cleaner find what no DataFrame refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark's cleaner find what no DataFrame refers to any more.
+
+        Twice, with a pause: the event of a query's end refers to its plan until all listeners have seen it, and files
+        are deleted in the background.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)
 
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
