@@ -214,7 +214,7 @@ def corpus_counts(spark, sf_dir):
     "FROM (SELECT *, CAST(floor((epoch_ms(TIMESTAMP '2024-01-31') - epoch_ms(ts)) / 60000.0 + 0.5) AS BIGINT) AS m FROM events)"
 )
 def display_fields(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = T.stamps(F.col("ts"))
     return e.select(
         "event_id",

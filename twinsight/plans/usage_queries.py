@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import Caps
 from ..operators import evaluation, judge, limits
 from ..operators.index import document_frequency
+from ..sources import adapters
 from ..streaming.limits import decide
 from ..streaming.live import LiveStore
 from . import frames
@@ -78,7 +79,7 @@ def judge_validate(spark, sf_dir):
     row = F.struct("event_id", F.struct((F.col("event_id") % 5).alias("number"), verdict.alias("verdict"), F.col("value").alias("likelihood"), F.concat(F.lit("r"), "event_id").alias("reason")).alias("r"))
     rows = e.groupBy(F.col("user_id").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("results"))
     replies = rows.select("qid", F.to_json(F.struct("results")).alias("reply"), F.lit(None).cast("string").alias("error"))
-    cands = rows.select("qid", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("number"))
+    cands = rows.select("qid", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<long>")).alias("number"))
     return judge.validate(replies, cands).select("qid", "number", "verdict", "likelihood", "reason", F.col("dropped").cast("long").alias("dropped"))
 
 
@@ -151,7 +152,7 @@ def stream_rate_limit(spark, sf_dir):
     """Decides every claim of the event log as a stream."""
     events = table(spark, sf_dir, "events")
     path = f"{sf_dir}/events.parquet"
-    claims = spark.readStream.schema(events.schema).parquet(path).select("event_id", F.col("user_id").alias("caller"), "ts", F.col("value").alias("cost"))
+    claims = adapters.claims(spark.readStream.schema(events.schema).parquet(path))
     name = f"decisions_{abs(hash(path))}"
     q = decide(claims, CAPS).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

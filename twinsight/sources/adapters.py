@@ -58,7 +58,7 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def claims(events: DataFrame) -> DataFrame:
-    return events.select("event_id", F.col("user_id").alias("caller"), "ts", F.col("value").alias("cost"))
+    return events.select("event_id", F.col("user_id").alias("caller"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cost"))
 
 
 def edits(documents: DataFrame, labels: DataFrame, benchmark: DataFrame) -> DataFrame:
