@@ -40,7 +40,7 @@ def test_chat_collapses_prefixes(spark):
     assert set(got) == {3, 4, 6, 7, None}
     assert got[3] == (0, 3, 2, "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n<|user|>\nbye<|end|>\n")
     assert got[6][3] == "<|user|>\n<|end|>\n"
-    assert [got[7][1]] == [3] or got[7][1] == 3
+    assert got[7][1] == 3
 
 
 def test_chat_long_conversation_in_runs(spark):
