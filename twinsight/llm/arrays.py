@@ -132,3 +132,22 @@ def minhash(x: np.ndarray, off: np.ndarray, slots: int, seed: int = 0) -> np.nda
             v += b
             out[i, full] = np.minimum.reduceat(v, at)
     return np.ascontiguousarray(out.T)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(value, its batches) of batches that are sorted by an integer column."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for b in batches:
+        ids = b[column].to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for first, last in zip(cut, cut[1:], strict=False):
+            if first == last:
+                continue
+            if held and ids[first] != key:
+                yield key, held
+                held = []
+            key = int(ids[first])
+            held.append(b.slice(first, last - first))
+    if held:
+        yield key, held

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .arrays import pieces
 
 ORDER = 3
+SLICES = 64
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -109,7 +110,10 @@ def sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dict[str, li
     """The bounded training sample: of each language the documents with the smallest hashes of text and id."""
     h = F.xxhash64(F.lit(7), "doc_id", "text")
     usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    last = usable.select("lang", h.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_docs).groupBy("lang").agg(F.max("h").alias("last"))
+    # least hashes of each language: first within slices, so that what all tasks offer for a language meets in many tasks
+    least = lambda d, *by: d.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("r") <= sample_docs)
+    slices = usable.select("lang", h.alias("h")).withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    last = least(least(slices, "lang", "slice"), "lang").groupBy("lang").agg(F.max("h").alias("last"))
     cuts = {r["lang"]: r["last"] for r in last.collect()}
     if not cuts:
         return {}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U64, mix, pieces, prefix_hash, rows_of, span_hash, words
+from .arrays import LOWER, U64, grouped, mix, pieces, prefix_hash, rows_of, span_hash, words
 from .scratch import Scratch
 
 BLOCK = 8 << 20
@@ -221,24 +221,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     hot = hot_words(d, blocks)
     d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def blocks_of(batches):
-        """(block, its batches) of batches sorted by block."""
-        held, key = [], None
-        for b in batches:
-            ids = b["block"].to_numpy()
-            for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1):
-                if not len(part):
-                    continue
-                if key is not None and ids[part[0]] != key:
-                    yield key, held
-                    held = []
-                key = int(ids[part[0]])
-                held.append(b.slice(part[0], len(part)))
-        if held:
-            yield key, held
-
     def ask(batches):
-        for key, held in blocks_of(batches):
+        for key, held in grouped(batches, "block"):
             b = Block(blocks, hot)
             for x in held:
                 b.add(x["text"], ~x["held_out"].to_numpy(zero_copy_only=False))
@@ -259,7 +243,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def walk(batches):
-        for _, held in blocks_of(batches):
+        for _, held in grouped(batches, "block"):
             known, b, ids, folds_ = {}, Block(blocks, hot), [], []
             for x in held:
                 is_text = x["kind"].to_numpy() == 2
