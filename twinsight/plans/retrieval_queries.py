@@ -281,6 +281,9 @@ def analyze(spark, sf_dir):
     return out.select("qid", "number", "rnk", "fused", "bm25_rank", "verdict", "likelihood", "reason", "source", "judge_error")
 
 
-@query()
+@query(
+    f"WITH {O.ITEMS}, {O.index('items')} SELECT count(*) AS items, count(*) FILTER (kind = 'ISSUE') AS issues, count(*) FILTER (kind = 'PR') AS prs, count(*) FILTER (state = 'OPEN') AS open, count(*) FILTER (merged) AS merged, "
+    "(SELECT n FROM stats) AS indexed, (SELECT round(avg_len, 9) FROM stats) AS avg_len, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS updated FROM items"
+)
 def health(spark, sf_dir):
-    return _store(spark, sf_dir).health()
+    return _store(spark, sf_dir).health().withColumn("avg_len", F.round("avg_len", 9))

@@ -13,7 +13,8 @@ from ..sources import adapters
 from ..streaming.limits import decide
 from ..streaming.live import LiveStore
 from . import frames
-from .registry import query, table
+from . import text_queries  # noqa: F401 - registers the twin of stream_fold
+from .registry import ORACLE, query, table
 
 CAPS = Caps(per_caller_hour=1, per_caller_day=4, global_day=340, monthly_usd=5000.0)
 
@@ -133,7 +134,7 @@ def verdict_cache_key(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", judge.cache_key(F.lit(""), F.col("text"), F.lit(None).cast("array<string>"), F.lit(n)).alias("key"))
 
 
-@query()
+@query(ORACLE["fold_df"])
 def stream_fold(spark, sf_dir):
     """Folds the delta through a stream and returns the folded document frequencies."""
     at = tempfile.mkdtemp(prefix="twinsight-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
@@ -147,7 +148,7 @@ def stream_fold(spark, sf_dir):
     return document_frequency(store.read()[1])
 
 
-@query()
+@query(f"{_COUNTED} SELECT event_id, CAST(caller AS VARCHAR) AS caller, hour_n, day_n, NOT (hour_n > 1 OR day_n > 4) AS ok, CASE WHEN hour_n > 1 OR day_n > 4 THEN 'RATE' END AS code FROM c")
 def stream_rate_limit(spark, sf_dir):
     """Decides every claim of the event log as a stream."""
     events = table(spark, sf_dir, "events")
@@ -156,4 +157,4 @@ def stream_rate_limit(spark, sf_dir):
     name = f"decisions_{abs(hash(path))}"
     q = decide(claims, CAPS).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).drop("ts")
