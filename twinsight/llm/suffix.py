@@ -5,7 +5,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 1. *Cutting the collection.* Every window of ``length`` bytes has a minimiser: the ``gram``-byte string inside it with
    the least hash, leftmost if tied. Successive windows with one minimiser form a piece of under twice ``length``
    bytes. Equal windows have equal minimisers at the same place, so pieces with different minimisers need never be
-   compared, and pieces with the same one are aligned by it. Pieces are pre-aggregated by content.
+   compared, and pieces with the same one are aligned by it. Pieces are pre-aggregated by content: pieces that repeat
+   within a stretch of texts (a phrase repeated without end makes one for every byte) leave it as one.
 2. *Construction.* Pieces whose minimiser has several contents go to the executors by minimiser. Aligned pieces are the
    documents of a collection whose sorted suffixes and common prefixes are built column by column from the right: each
    round inserts one symbol for every document, a stable sort by that symbol (its count plus its rank, as in the
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .arrays import LIMIT, U64, column_bytes, pieces, prefix_hash, signed, span_hash
 from .scratch import Scratch
 
-PIECE = "mini long, content long, dk long, tag int, start int, n int, anchor int"
+PIECE = "mini long, content long, dk long, tag int, start int, n int, anchor int, c int"
 BLOCK = 1 << 14  # documents to a block of the column file
 COLLECTION = 1 << 17  # documents to a collection, unless one minimiser has more
 
@@ -197,10 +198,24 @@ def spans(s: Scratch, docs: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             dk, tag = b["dk"].to_numpy(), b["tag"].to_numpy()
             for first, base, (mini, content, row, start, n, anchor) in cut_batch(b["text"], length, gram):
-                if len(row):
-                    row = row + first
-                    cols = (signed(mini), signed(content), dk[row], tag[row], *(x.astype(np.int32) for x in (start + base, n, anchor)))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["mini", "content", "dk", "tag", "start", "n", "anchor"])
+                if not len(row):
+                    continue
+                row, start = row + first, start + base
+                _, one, group, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+                again = np.flatnonzero(times[group] > 1)
+                # what repeats within the stretch is known to go, as merged spans, and goes on as one piece that counts twice
+                begin, end = start[again], (start + n)[again] + length - 1
+                new = np.ones(len(again), bool)
+                new[1:] = (row[again][1:] != row[again][:-1]) | (begin[1:] > end[:-1])
+                at = np.flatnonzero(new)
+                last = np.append(at[1:], len(again))[: len(at)] - 1
+                spanned = row[again][at]
+                zeros, none = np.zeros(len(at), np.int32), pa.nulls(len(at), pa.int64())
+                ints = lambda *x: [pa.array(v.astype(np.int32)) for v in x]
+                names = ["mini", "content", "dk", "tag", "start", "n", "anchor", "c"]
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(dk[spanned]), pa.array(tag[spanned]), *ints(begin[at], end[last] - begin[at], zeros, zeros)], names)
+                mini, content, row, start, n, anchor = (x[one] for x in (mini, content, row, start, n, anchor))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mini)), pa.array(signed(content)), pa.array(dk[row]), pa.array(tag[row]), *ints(start, n, anchor, np.minimum(times, 2))], names)
 
     def fetch(batches):
         for b in batches:
@@ -215,16 +230,19 @@ def spans(s: Scratch, docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([w.field("mini"), w.field("content"), w.field("anchor"), cutout], ["mini", "content", "anchor", "bytes"])
 
     found = s.table(docs.filter(F.octet_length("text") >= length).mapInArrow(describe, PIECE))
-    twice = found.groupBy("mini").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("c > 1")
+    known = s.table(found.filter("mini is null").select("dk", "tag", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")).alias("span")))
+    twice = found.filter("mini is not null").groupBy("mini").agg(F.sum("c").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("c > 1")
     shared = s.table(tidy=True, df=found.join(twice.select("mini", (F.col("lo") != F.col("hi")).alias("several")), "mini"))
-    s.drop(s.paths[-2])
-    classes = s.table(tidy=True, df=shared.groupBy("mini", "content").agg(F.count("*").alias("c"), F.first("several").alias("several"), F.min(F.struct("dk", "tag", "start", "n", "anchor")).alias("r")))
+    s.drop(s.paths[-3])
+    classes = s.table(tidy=True, df=shared.groupBy("mini", "content").agg(F.sum("c").alias("c"), F.first("several").alias("several"), F.min(F.struct("dk", "tag", "start", "n", "anchor")).alias("r")))
     want = classes.filter("several").groupBy("r.dk", "r.tag").agg(F.collect_list(F.struct(F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.anchor").alias("anchor"), "mini", "content")).alias("want"))
     aligned = docs.join(want.hint("shuffle_hash"), ["dk", "tag"]).select("text", "want").mapInArrow(fetch, "mini long, content long, anchor int, bytes binary")
     runs = aligned.repartition("mini").sortWithinPartitions("mini", "content").mapInArrow(repeated(length, gram), "mini long, content long, first int, last int")
     whole = classes.filter("c > 1").select("mini", "content", F.lit(0).alias("first"), F.col("r.n").alias("last"))
     marks = s.table(tidy=True, df=runs.join(whole, ["mini", "content"], "left_anti").unionByName(whole))
-    return shared.join(marks, ["mini", "content"]).groupBy("dk", "tag").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + (length - 1)).alias("b"))).alias("spans"))
+    span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + (length - 1)).alias("b"))
+    every = shared.join(marks, ["mini", "content"]).select("dk", "tag", span.alias("span")).unionByName(known)
+    return every.groupBy("dk", "tag").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 50, carry: bool = False) -> DataFrame:
