@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+from twinsight.llm import langid
 from twinsight.llm.queries import vocabulary
 
 from .test_operators import WORD, brute_classes, repeats, table
@@ -57,3 +58,13 @@ def test_stages(docs, spark):
 def test_run_is_the_stages(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_language_stage_goes_by_scores(spark):
+    noise = "qzx vkj wqx zzk xjq kvv"
+    rows = [(i, f"the lantern by the river and the engine {i}" if i % 2 else f"{noise} {i}", "en" if i % 2 else "und", "web", 40) for i in range(40)]
+    rows += [(100, "the engine by the river", None, "web", 23), (101, noise * 3, None, "web", 60), (102, "12 34", None, "web", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, None).collect()}
+    assert got == {r["doc_id"] for r in langid.identify(docs).filter("lang_pred <> 'und'").collect()}
+    assert got == {i for i in range(40) if i % 2} | {100}

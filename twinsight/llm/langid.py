@@ -126,6 +126,20 @@ def sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dict[str, li
     return out
 
 
+def predict(model: Model, text: pa.Array, letter: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each whole text; ``letter`` marks those with one."""
+    pred, sure = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
+    if model.langs:
+        known = letter.to_numpy(zero_copy_only=False)
+        for rows, data, off in pieces(text):
+            cost = code_lengths(model, data, off)
+            best = cost.argmin(axis=1)
+            odds = np.exp2(np.maximum(cost[np.arange(len(cost)), best][:, None] - cost, -1000)).sum(axis=1)
+            pred[rows] = np.where(known[rows], np.array(model.langs, object)[best], UNKNOWN)
+            sure[rows] = np.where(known[rows], 1 / odds, 0.0)
+    return pred, sure
+
+
 def identify(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -146,15 +160,7 @@ def identify(
     def score(batches):
         m = shared.value
         for b in batches:
-            pred, sure = np.full(len(b), UNKNOWN, object), np.zeros(len(b))
-            if m.langs:
-                known = b["letter"].to_numpy(zero_copy_only=False)
-                for rows, data, off in pieces(b["text"]):
-                    cost = code_lengths(m, data, off)
-                    best = cost.argmin(axis=1)
-                    odds = np.exp2(np.maximum(cost[np.arange(len(cost)), best][:, None] - cost, -1000)).sum(axis=1)
-                    pred[rows] = np.where(known[rows], np.array(m.langs, object)[best], UNKNOWN)
-                    sure[rows] = np.where(known[rows], 1 / odds, 0.0)
+            pred, sure = predict(m, b["text"], b["letter"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(pred, pa.string()), pa.array(sure)], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(d.dtypes)["doc_id"]
@@ -164,8 +170,8 @@ def identify(
 def keep_known(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All columns of the rows whose language can be told: the filter for pipelines.
 
-    The decision (a text with at least one letter, given any training row) is the one :func:`identify` reports as other
-    than ``und``; it is carried in the rows themselves, so no join is needed.
+    Each whole text is scored as :func:`identify` scores it, and rows stay whose language is other than ``und``. The
+    scores are taken in the rows themselves, so no join is needed.
     """
     spark = docs.sparkSession
     id_col, lang_col = options.get("id_col", "doc_id"), options.get("lang_col", "lang")
@@ -173,19 +179,14 @@ def keep_known(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     d = d.filter(~F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == out, F.lit(False)))
     model = spark.sparkContext.broadcast(train(sample(d, options.get("sample_docs", 300), options.get("sample_chars", 4096))))
-    schema, at, none = docs.schema, docs.columns.index(text_col), options.get("least", None)
+    schema, at = docs.schema, docs.columns.index(text_col)
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
     def keep(batches):
         m = model.value
         for b in batches:
-            ok = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).copy()
-            for rows, data, off in pieces(b.column(at)):
-                if not m.langs:
-                    ok[rows] = False
-                elif none is not None:  # bits a byte above which a text is in no known language
-                    ok[rows] &= code_lengths(m, data, off).min(axis=1) <= none * np.diff(off)
-            kept = b.filter(pa.array(ok))
+            pred, _ = predict(m, b.column(at), b.column(b.num_columns - 1))
+            kept = b.filter(pa.array((pred != UNKNOWN).astype(bool)))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
     return docs.select("*", letter.alias("__letter")).mapInArrow(keep, schema)
