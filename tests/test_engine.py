@@ -210,3 +210,28 @@ def test_stream_decisions(spark, tmp_path):
     q.awaitTermination()
     got = {r["event_id"]: (r["hour_n"], r["day_n"], r["ok"]) for r in spark.table("decided").collect()}
     assert got == {0: (1, 1, True), 1: (2, 2, True), 2: (3, 3, False), 3: (1, 4, True), 4: (1, 1, True)}
+
+
+def test_pair_queries_have_every_pair_and_the_twin_rows(spark):
+    import duckdb
+
+    from twinsight.plans import frames
+    from twinsight.plans import retrieval_queries as Q
+    from twinsight.plans.registry import ORACLE
+
+    path = "/root/testdata/sf0.001"
+    prs = {r["number"]: set(r["files"]) for r in frames.pull_requests(spark, path).collect() if r["files"]}
+    numbers = sorted(prs)
+    want = {(a, b): len(prs[a] & prs[b]) for i, a in enumerate(numbers) for b in numbers[i + 1 :] if prs[a] & prs[b]}
+    got = {"file_jaccard_pairs": Q.file_jaccard_pairs(spark, path).collect(), "collision_score": Q.collision_score(spark, path).collect()}
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    for name, rows in got.items():
+        have = {(r["a"], r["b"]): tuple(r)[2:] for r in rows}
+        assert len(rows) == len(have) and set(have) == set(want)
+        for a, b, *values in con.execute(ORACLE[name]).fetchall():
+            assert have[min(a, b), max(a, b)] == pytest.approx(tuple(values), abs=2e-9)
+    for r in got["file_jaccard_pairs"]:
+        n = want[r["a"], r["b"]]
+        assert r["j"] == pytest.approx(n / (len(prs[r["a"]]) + len(prs[r["b"]]) - n), abs=1e-9)

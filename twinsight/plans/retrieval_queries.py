@@ -84,10 +84,8 @@ _PAIRS = f"{_FILES}, pairs AS (SELECT qid AS a, number AS b FROM overlap)"
 
 
 def _pr_pairs(spark, sf_dir):
-    prs = frames.pull_requests(spark, sf_dir).withColumn("title", F.lit(""))
-    pairs = _overlap(spark, sf_dir).select(F.col("qid").alias("a"), F.col("number").alias("b"))
-    marked = rules.mark_targets(rules.title_terms(prs), rules.target_vocabulary(prs))
-    return rules.file_pairs(rules.sides(pairs, marked), rules.file_idf(prs))
+    """All pairs of pull requests that share a file; the SQL has those of the searches' query set only, each from its side."""
+    return rules.shared_file_pairs(frames.pull_requests(spark, sf_dir))
 
 
 @query(
