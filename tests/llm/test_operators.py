@@ -223,6 +223,29 @@ def test_search_matches_brute_force(docs, monkeypatch, shard):
     assert sorted(got) == sorted(want)
 
 
+def test_search_empty_texts_among_few_hits(spark):
+    texts = ["lantern", None, "rare lantern word", "", "copper river copper", "   ", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "rare"), (2, "copper"), (3, "river lantern")], "doc_id long, text string")
+    got = {}
+    for r in search.top_k(d, q).collect():
+        got.setdefault(r["query_id"], set()).add(r["doc_id"])
+    assert got == {1: {2}, 2: {4}, 3: {0, 2, 4}}
+
+
+def test_shard_ends_in_empty_text():
+    import numpy as np
+    import pyarrow as pa
+
+    t = search.Terms()
+    t.add(pa.array(["lantern", "", "rare word", ""]))
+    t.index()
+    s = search.Shard(t, np.arange(4), t.df, 4, 1.0)
+    rare, _ = search.word_hashes(np.frombuffer(b"rare", np.uint8), np.array([0, 4]))
+    ((ids, scores),) = s.search([np.unique(rare)], 2)
+    assert ids.tolist() == [2] and (scores > 0).all()
+
+
 # --- 7 ---
 
 
