@@ -355,6 +355,29 @@ def test_names_do_not_depend_on_offset():
 # --- 10 ---
 
 
+def test_wrapped_paragraphs_and_short_lines(spark):
+    import random
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8))
+    block, short = fresh(60), " ".join(fresh(6))
+    edited = [x + "x" if i == 30 else x for i, x in enumerate(block)]
+    texts = {
+        1: wrap(fresh(40)) + "\n\n" + wrap(block) + "\n\n" + wrap(fresh(40)),
+        2: wrap(fresh(30)) + "\n\n" + " ".join(edited[:33]) + "\n" + " ".join(edited[33:]) + "\n\n" + wrap(fresh(20)),
+        3: " ".join(fresh(15)) + "\n" + short + "\n" + " ".join(fresh(15)),
+        4: " ".join(fresh(15)) + "\n" + short.upper() + "\n" + " ".join(fresh(15)),
+        5: "head\n" + " ".join(fresh(48)),  # a block of mostly one line is no repeat of it
+    }
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = passages.repeated_passages(d).collect()
+    cut = lambda r: " ".join(texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode().split())
+    got = {(r["doc_id"], r["cluster"], r["removed"], cut(r).lower()) for r in rows}
+    assert {(1, 1, False, " ".join(block)), (2, 1, True, " ".join(edited)), (3, 3, False, short), (4, 3, True, short)} <= got
+    assert 5 not in {r["doc_id"] for r in rows}
+
+
 def test_passages(docs):
     got = {(r["doc_id"], r["cluster"]) for r in passages.clusters(passages.repeated_passages(docs)).collect()}
     rows = [(d, words(t)) for d, t in table(docs)]

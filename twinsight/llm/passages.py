@@ -1,16 +1,17 @@
 """Repeated passages: paragraph MinHash banding, exact verification, clusters by components.
 
-Units of a text are its paragraphs (lines) of at least ``LEAST`` words, and windows of ``WINDOW`` words inside it that
-start at content-defined places (where the hash of three words is least among ``2 * RADIUS + 1`` successive places), so
-a passage that other documents carry in the midst of a paragraph, or over several, has units of its own.
+Units of a text are its paragraphs of at least ``LEAST`` words, the length of a shingle, and windows of ``WINDOW`` words
+inside it that start at content-defined places (where the hash of three words is least among ``2 * RADIUS + 1``
+successive places), so a passage that other documents carry in the midst of a paragraph, or over several, has units of
+its own. Paragraphs are single lines, and blocks: wrapped lines up to a blank one (a text without blank lines is one).
 
 * Paragraphs: MinHash bands tuned for recall (``BANDS`` of ``ROWS``: an index of 0.8 is missed twice in a thousand
   times), colliding paragraphs joined, exact Jaccard index of five-word shingles at ``threshold`` or more, components of
   verified links. Equal paragraphs are one unit before that; the units of a large bucket meet its least unit only.
 * Windows are alike if equal: their hash is the one band.
 
-Of every cluster the occurrence first by (document, place) stays, the others are to be removed. Words are compared
-with A-Z lower-cased and white space left out of account.
+Of every cluster the occurrence first by (document, place) stays, the others are to be removed. A block and a line in it
+do not repeat each other: where one is the first occurrence, the other stays too. Words are compared with A-Z lower-cased and white space left out of account.
 
 Defined results: null or short texts have no units; documents with one id count as one (equal rows repeat each other at
 the same place, which removes neither); an empty table gives an empty result; other columns are ignored.
@@ -28,7 +29,7 @@ from .jaccard import SHINGLE, alike, band_keys
 from .scratch import Scratch
 from .suffix import sliding_min
 
-LEAST, WINDOW, RADIUS = 20, 20, 4
+LEAST, WINDOW, RADIUS = SHINGLE, 20, 4
 BANDS, ROWS = 12, 4
 
 
@@ -52,7 +53,7 @@ def anchors(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
 
 
 def units(data: np.ndarray, off: np.ndarray):
-    """(uid, row, a, b) of windows, and of paragraphs with their band keys."""
+    """(uid, row, a, b) of windows, and of lines and blocks of lines with their band keys."""
     low = LOWER[data]
     s, e, woff = words(low, off)
     h = span_hash(prefix_hash(low), s, e)
@@ -61,19 +62,24 @@ def units(data: np.ndarray, off: np.ndarray):
     i = anchors(h, woff)
     window = span_hash(run, i, i + WINDOW), row[i], s[i] - off[row[i]], e[i + WINDOW - 1] - off[row[i]]
     line = np.cumsum(data == 10)[s] if len(s) else np.zeros(0, np.int64)
-    new = np.ones(len(s), bool)
-    new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
-    p = np.flatnonzero(new)
-    q = np.append(p[1:], len(s))[: len(p)]
-    long = q - p >= LEAST
-    p, q = p[long], q[long]
-    size = q - p
-    cut = np.concatenate(([0], np.cumsum(size)))
-    at = np.arange(cut[-1]) + np.repeat(p - cut[:-1], size)
-    v, o = shingles(h[at], cut, SHINGLE)
-    keys = band_keys(minhash(v, o, BANDS * ROWS, seed=10), ROWS)
-    r = row[p]
-    return window, (span_hash(run, p, q), r, s[p] - off[r], e[q - 1] - off[r]), keys
+    apart = np.diff(line, prepend=line[:1])
+    other = np.ones(len(s), bool)
+    other[1:] = row[1:] != row[:-1]
+
+    def paragraphs(new, least_lines):
+        p = np.flatnonzero(new)
+        q = np.append(p[1:], len(s))[: len(p)]
+        long = (q - p >= LEAST) & (line[q - 1] - line[p] + 1 >= least_lines)
+        p, q = p[long], q[long]
+        size = q - p
+        cut = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(cut[-1]) + np.repeat(p - cut[:-1], size)
+        v, o = shingles(h[at], cut, SHINGLE)
+        keys = band_keys(minhash(v, o, BANDS * ROWS, seed=10), ROWS)
+        r = row[p]
+        return (span_hash(run, p, q), r, s[p] - off[r], e[q - 1] - off[r]), keys
+
+    return window, paragraphs(other | (apart > 0), 1), paragraphs(other | (apart > 1), 2)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -86,17 +92,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def describe(batches):
         for b in batches:
             for rows, data, off in pieces(b["text"]):
-                w, p, keys = units(data, off)
-                for (uid, row, a, e), k in ((w, None), (p, keys)):
+                w, lines, blocks = units(data, off)
+                for (uid, row, a, e), k, block in ((w, None, False), (*lines, False), (*blocks, True)):
                     if not len(uid):
                         continue
                     at = pa.array(row + rows.start)
                     if k is None:
-                        lists = pa.nulls(len(uid), pa.list_(pa.int64()))
+                        held = pa.nulls(len(uid), pa.list_(pa.int64()))
                     else:
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1]), pa.array(signed(k.ravel())))
+                        held = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1]), pa.array(signed(k.ravel())))
                     yield pa.RecordBatch.from_arrays(
-                        [b["doc_id"].take(at), b["dk"].take(at), pa.array(signed(uid)), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32)), lists], ["doc_id", "dk", "uid", "start", "end", "keys"]
+                        [b["doc_id"].take(at), b["dk"].take(at), pa.array(signed(uid)), pa.array(a.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(np.full(len(uid), block)), held],
+                        ["doc_id", "dk", "uid", "start", "end", "block", "keys"],
                     )
 
     def fetch(batches):
@@ -110,7 +117,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([w.field("uid"), pa.array(texts, pa.string())], ["uid", "text"])
 
     with Scratch(spark, "passages") as s:
-        found = s.table(d.filter(F.octet_length("text") >= 2 * min(LEAST, WINDOW) - 1).mapInArrow(describe, f"doc_id {kind}, dk long, uid long, start int, end int, keys array<long>"))
+        found = s.table(d.filter(F.octet_length("text") >= 2 * min(LEAST, WINDOW) - 1).mapInArrow(describe, f"doc_id {kind}, dk long, uid long, start int, end int, block boolean, keys array<long>"))
         place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "start")
         windows = found.filter(F.col("keys").isNull()).select("uid", "doc_id", "start", "end")
         twice = windows.groupBy("uid").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1")
@@ -124,12 +131,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         linked = s.table(alike(s, texts, classes.select("uid", F.explode("keys").alias("key")), threshold))
         roots = classes.select("uid", "c").join(linked, "uid", "left").filter((F.col("c") > 1) | F.col("root").isNotNull()).select("uid", F.coalesce("root", "uid").alias("root"))
-        member = s.table(lines.select("uid", "doc_id", "start", "end").join(roots, "uid"), tidy=True)
-        first = member.groupBy("root").agg(F.min(place).alias("first"))
-        near = member.join(first, "root").select("doc_id", "start", "end", "first")
-        out = equal.unionByName(near)
-        stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-        return s.table(out.select("doc_id", "start", "end", F.col("first.doc_id").alias("cluster"), (~stays).alias("removed")).distinct(), keep=True, tidy=True)
+        member = s.table(lines.select("uid", "doc_id", "start", "end", "block").join(roots, "uid"), tidy=True)
+        span = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "start", "end")
+        line, block = F.when(~F.col("block"), span), F.when(F.col("block"), span)
+        over = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["start"] < y["end"]) & (x["end"] > y["start"])
+        first = member.groupBy("root").agg(F.min(span).alias("first"), F.min(line).alias("line"), F.min(block).alias("part"), F.count(line).alias("lines"), F.count(block).alias("parts"))
+        # a block with a line that makes up most of it, and nothing else, is no repeat
+        first = first.filter(~F.coalesce((F.col("lines") == 1) & (F.col("parts") == 1) & over(F.col("line"), F.col("part")), F.lit(False)))
+        near = member.join(first, "root").withColumns({"own": F.when(F.col("block"), F.col("part")).otherwise(F.col("line")), "at": span})
+        near = near.withColumn("stays", over(F.col("at"), F.col("first")) & F.col("own.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own.start") == F.col("start")))
+        equal = equal.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
+        columns = ["doc_id", "start", "end", F.col("first.doc_id").alias("cluster"), (~F.col("stays")).alias("removed")]
+        out = equal.select(*columns).unionByName(near.select(*columns))
+        return s.table(out.distinct(), keep=True, tidy=True)
 
 
 def clusters(passages: DataFrame) -> DataFrame:
