@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsight.llm import jaccard, langid, mixing, packing, suffix
 from twinsight.llm.queries import vocabulary
+from twinsight.llm.scratch import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +46,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    s = Scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = s.table(docs, keep=True, tidy=True)
     return docs

@@ -68,3 +68,13 @@ def test_language_stage_goes_by_scores(spark):
     got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, None).collect()}
     assert got == {r["doc_id"] for r in langid.identify(docs).filter("lang_pred <> 'und'").collect()}
     assert got == {i for i in range(40) if i % 2} | {100}
+
+
+def test_run_hands_over_whole_tables(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read = []
+    stage = lambda spark, d, sf_dir: (read.append(d.inputFiles()), d.filter("doc_id > 3"))[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert all(str(tmp_path) in f for f in read[0])
+    assert read[1] and read[2] and not any(str(tmp_path) in f for x in read[1:] for f in x) and not set(read[1]) & set(read[2])
