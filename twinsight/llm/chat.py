@@ -2,11 +2,13 @@
 
 Chat logs often store a conversation again after every turn. Each turn gets a hash of its place, role and text; rolling
 sums of these hashes identify every turn prefix. A conversation whose whole hash is a proper prefix of a longer one,
-or of an equal one with a smaller id, goes (two anti-joins); the rest are rendered.
+or that equals one with a smaller id, goes: equal ones are made one by a grouping on the whole hash, prefixes go by an
+anti-join with all inner prefixes; the rest are rendered.
 
 Only DataFrame functions are used. Rolling sums run over runs of ``CHUNK`` turns with the totals of earlier runs added,
 so one endless conversation does not meet in one task; prefixes are made distinct before they move, so a first turn
-that a third of all conversations share costs one row a task. Rendered text comes in the same runs, a row each.
+that a third of all conversations share costs one row a task. Every kept conversation is rendered as one row, whatever
+its turn numbers; that row must fit a cell of 2 GB.
 
 Defined results: a null conv_id is a conversation of its own; turns are ordered by turn (null first), role, text, so
 repeated turns all count; null role or text is an empty string; conversations are equal if their turns' roles and
@@ -61,7 +63,7 @@ def collapse(turns: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame, start: str = "<|{role}|>\n", end: str = "<|end|>\n", **names: str) -> DataFrame:
-    """(conv_id, part, n_turns, copies, text): maximal conversations, a part each run of ``CHUNK`` turn numbers.
+    """(conv_id, n_turns, copies, text): maximal conversations, a row each.
 
     ``start`` may name ``{role}``; ``end`` is literal. ``copies`` counts the equal conversations a row stands for.
     """
@@ -70,7 +72,5 @@ def render(conversations: DataFrame, start: str = "<|{role}|>\n", end: str = "<|
         kept = s.table(collapse(turns), keep=True)
     head, _, tail = start.partition("{role}")
     line = F.concat(F.lit(head), F.col("role"), F.lit(tail), F.col("text"), F.lit(end))
-    rows = turns.join(kept.select("key", "n", "copies"), "key")
-    parts = rows.groupBy("key", "run").agg(F.max("conv_id").alias("conv_id"), F.max("n").alias("n_turns"), F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
-    part = F.row_number().over(Window.partitionBy("key").orderBy("run")) - 1
-    return parts.select("conv_id", part.cast("long").alias("part"), F.col("n_turns").cast("long"), "copies", F.array_join(F.col("lines.line"), "").alias("text"))
+    lines = turns.join(kept.select("key"), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    return lines.join(kept, "key").select("conv_id", F.col("n").cast("long").alias("n_turns"), "copies", F.array_join(F.col("lines.line"), "").alias("text"))

@@ -8,17 +8,22 @@ lengths are powers of two, which need no padding.
 
 Packing runs inside the scan: every task packs its own split, ``PORTION`` ids at a time, so nothing is shuffled, no
 source or group of copies meets in a task, and a task that is run again gives the same pieces. ``sequence_id`` holds
-the split in its upper bits.
+the split in its upper bits. So the layout follows the input's splits: other files or split sizes give another packing
+of the same ids, as full as this one but for the last sequences of each portion.
+
+Ids are those of the tokenizer file's own library without special tokens added; a special token that a text spells
+becomes its id, as in that library. Given the vocabulary's splitting ``pattern``, texts without such a spelling are
+encoded by a second library from the same file's vocabulary, with equal ids in a third of the time.
 
 Defined results: null text is empty (the single id 0); equal rows are packed each; an empty table gives an empty
-result; other columns are ignored; texts that spell a special token are ordinary text.
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import pieces
+
 PORTION = 4 << 20
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -111,22 +118,41 @@ def pack(lengths: list[int], window: int, slack: int) -> Iterator[tuple[int, int
                 goal = min(window, 1 << max(left.bit_length() - 1, 0))
 
 
-def encoder(path: str, pattern: str):
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str | None) -> Callable[[list[str]], list[list[int]]]:
+    """A function from texts to lists of ids, kept by the Python worker."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    by_file = lambda texts: [x.ids for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+    if pattern is None:
+        return by_file
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in the file
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes(byte[c] for c in token): i for token, i in own.get_vocab(with_added_tokens=False).items()}
+    fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    special = [x.content for x in own.get_added_tokens_decoder().values()]
+
+    def encode(texts):
+        spelled = [i for i, t in enumerate(texts) if any(x in t for x in special)]
+        out = fast.encode_ordinary_batch(texts, num_threads=1)
+        for i, ids in zip(spelled, by_file([texts[i] for i in spelled]), strict=True):
+            out[i] = ids
+        return out
+
+    return encode
 
 
-def pack_documents(docs: DataFrame, ranks: str, pattern: str, window: int = 1024, slack: int = 16, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str | None = None, window: int = 1024, slack: int = 16, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and ``ids`` if asked for.
 
-    ``ranks`` and ``pattern`` describe the byte-level BPE vocabulary; the file must be readable on the executors.
+    ``tokenizer`` is the path of a byte-level BPE tokenizer file, which must be readable on the executors.
     """
 
     def run(batches):
-        encode, split, made = encoder(ranks, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, split, made = encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
 
         def flush(ids, keys):
             nonlocal made
@@ -144,16 +170,16 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, window: int = 1024
 
         ids, keys, held = [], [], 0
         for b in batches:
-            first = 0
-            for i, t in enumerate(b["text"]):
-                x = np.array([*encode(t.as_py() or ""), 0], "<i4")
-                ids.append(x)
-                held += len(x)
-                if held >= PORTION:
-                    keys.append(b["doc_id"].slice(first, i + 1 - first))
-                    yield from flush(ids, keys)
-                    ids, keys, held, first = [], [], 0, i + 1
-            keys.append(b["doc_id"].slice(first))
+            for rows, _, _ in pieces(b["text"]):
+                first = rows.start
+                for i, got in enumerate(encode(["" if t is None else t for t in b["text"][rows].to_pylist()]), rows.start):
+                    ids.append(np.array([*got, 0], "<i4"))
+                    held += len(ids[-1])
+                    if held >= PORTION:
+                        keys.append(b["doc_id"].slice(first, i + 1 - first))
+                        yield from flush(ids, keys)
+                        ids, keys, held, first = [], [], 0, i + 1
+                keys.append(b["doc_id"].slice(first, rows.stop - first))
         yield from flush(ids, keys)
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -15,10 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def vocabulary() -> dict[str, str]:
-    """Where the public byte-level BPE vocabulary lies, and its splitting pattern."""
+    """Where the public byte-level BPE tokenizer lies, and its splitting pattern."""
     import public_tokenizers
 
-    return {"ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "pattern": public_tokenizers.PATTERN}
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ WITH t AS (
   SELECT a.conv_id, a.n, a.copies FROM alone a
   WHERE NOT EXISTS (SELECT 1 FROM alone b WHERE b.n > a.n AND b.turns[1:a.n] = a.turns)
 )
-SELECT k.conv_id, CAST(0 AS BIGINT) AS part, CAST(k.n AS BIGINT) AS n_turns, CAST(k.copies AS BIGINT) AS copies,
+SELECT k.conv_id, CAST(k.n AS BIGINT) AS n_turns, CAST(k.copies AS BIGINT) AS copies,
        string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.place) AS text
 FROM kept k JOIN t ON t.conv_id = k.conv_id
 GROUP BY k.conv_id, k.n, k.copies
