@@ -313,28 +313,58 @@ def test_language_id_held_out(spark):
         assert r["lang_pred"] == ("und" if i in (900, 901, 902) else g or "aa") and 0 <= r["score"] <= 1
 
 
-def test_ppm_code_lengths_match_a_plain_tree():
-    train = {"x": [b"abracadabra abra"], "y": [b"zyzzyva cab"]}
-    m = langid.train(train)
-    trees = {k: [langid._counts(v, n) for n in range(langid.ORDER + 1)] for k, v in train.items()}
-
-    def bits(tree, ctx, b):
+def plain_tree(texts):
+    """Successor counts of each context, byte by byte."""
+    out = [defaultdict(Counter) for _ in range(langid.ORDER + 1)]
+    for t in texts:
+        for i, b in enumerate(t):
+            for n in range(min(i, langid.ORDER) + 1):
+                out[n][t[i - n : i]][b] += 1
+    return out
+
+
+def plain_bits(tree, t):
+    def bits(ctx, b):
         got = tree[len(ctx)].get(ctx)
         if not got:
-            return bits(tree, ctx[1:], b) if ctx else 8.0
+            return bits(ctx[1:], b) if ctx else 8.0
         total, kinds = sum(got.values()), len(got)
         if got.get(b):
             return math.log2((total + kinds) / got[b])
-        return math.log2((total + kinds) / kinds) + (bits(tree, ctx[1:], b) if ctx else 8.0)
+        return math.log2((total + kinds) / kinds) + (bits(ctx[1:], b) if ctx else 8.0)
+
+    return sum(bits(t[max(0, j - langid.ORDER) : j], b) for j, b in enumerate(t))
 
+
+def test_ppm_code_lengths_match_a_plain_tree():
     import numpy as np
 
-    texts = [b"abra cab", b"", b"qq\xff abr", b"z"]
-    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    got = langid.code_lengths(m, np.frombuffer(b"".join(texts), np.uint8), off)
-    for i, t in enumerate(texts):
+    texts = {"x": [b"abracadabra abra", b"ab"], "y": [b"zyzzyva cab", b""]}
+    join = lambda v: (np.frombuffer(b"".join(v), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in v]))))
+    m = langid.train({k: langid.tree([langid.grams(*join(v), n) for n in range(langid.ORDER + 1)]) for k, v in texts.items()})
+    asked = [b"abra cab", b"", b"qq\xff abr", b"z"]
+    got = langid.code_lengths(m, *join(asked))
+    for i, t in enumerate(asked):
         for k, lang in enumerate(m.langs):
-            assert got[i, k] == pytest.approx(sum(bits(trees[lang], t[max(0, j - langid.ORDER) : j], b) for j, b in enumerate(t)), rel=1e-5, abs=1e-6)
+            assert got[i, k] == pytest.approx(plain_bits(plain_tree(texts[lang]), t), rel=1e-5, abs=1e-6)
+
+
+def test_language_id_matches_plain_trees(docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    trees = {g: plain_tree([t.encode() for d, t, x in rows if x == g and t and not out(d)]) for g in ("de", "en")}
+    want = []
+    for d, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            want.append((d, "und", 0.0))
+            continue
+        b = t.encode()
+        cost = {g: plain_bits(x, b) for g, x in trees.items()}
+        best = min(cost, key=lambda g: (cost[g], g))
+        odds = sum(2 ** -min(1000, (c - cost[best]) * min(4, len(b)) / len(b)) for c in cost.values())
+        want.append((d, best, round(1 / odds, 4)))
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in langid.identify(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 # --- 8 ---

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
 from twinsight.llm import langid
 
-from .test_operators import WORD, brute_classes, plain_ids, repeats, table
+from .test_operators import WORD, brute_classes, plain_bits, plain_ids, plain_tree, repeats, table
 
 
 def test_stages(docs, spark):
@@ -16,7 +17,11 @@ def test_stages(docs, spark):
 
     known = stage["language_id"](spark, docs, None).persist()
     assert known.columns == columns
-    assert Counter(table(known)) == Counter((d, t) for d, t in table(docs) if t and any(c.isalpha() for c in t))
+    labelled = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    trees = [plain_tree([t.encode() for d, t, x in labelled if x == g and t and not out(d)]) for g in ("de", "en")]
+    fits = lambda b: min(plain_bits(x, b) for x in trees) <= 8 * len(b) + 64
+    assert Counter(table(known)) == Counter((d, t) for d, t in table(docs) if t and any(c.isalpha() for c in t) and fits(t.encode()))
 
     unique = stage["jaccard_join"](spark, known, None).persist()
     assert unique.columns == columns
@@ -71,3 +76,20 @@ def test_run_hands_over_whole_tables(spark, docs, tmp_path, monkeypatch):
     corpus_pipeline.run(spark, str(tmp_path))
     assert all(str(tmp_path) in f for f in read[0])
     assert read[1] and read[2] and not any(str(tmp_path) in f for x in read[1:] for f in x) and not set(read[1]) & set(read[2])
+
+
+def test_language_stage_drops_unknown_languages(spark):
+    greek = "η γρήγορη καφετιά αλεπού πηδάει πάνω από το τεμπέλικο σκυλί"
+    rows = [(i, f"the lantern by the river and the engine {i} over the quiet garden", "en", "web", 60) for i in range(40)]
+    rows += [(100, greek, None, "web", 60), (101, "the quiet river", None, "web", 15), (102, "x", None, "web", 1), (103, None, "en", "web", 0)]
+    docs = spark.createDataFrame([r + (1, "l") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row int, letter string")
+    kept = corpus_pipeline.language_id(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {*range(40), 101, 102}
+
+
+def test_stages_on_empty_tables(spark, docs):
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, None)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
