@@ -184,7 +184,7 @@ def identify(
     folds: int = 4,
     held_out: int = 2,
     sample_docs: int = 300,
-    stretch: float = 4.0,
+    stretch: float = 1.0,
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits): ``bits`` a byte are those of the shortest code (null for empty texts)."""
     d = _training(docs, id_col, text_col, lang_col, folds, held_out)
