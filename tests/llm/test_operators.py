@@ -291,7 +291,7 @@ def test_shard_ends_in_empty_text():
     t.index()
     s = search.Shard(t, np.arange(4), t.df, 4, 1.0)
     rare, _ = search.word_hashes(np.frombuffer(b"rare", np.uint8), np.array([0, 4]))
-    ids, scores = s.search(np.unique(rare), 2)
+    ((ids, scores),) = s.search([np.unique(rare)], 2)
     assert ids.tolist() == [2] and (scores > 0).all()
 
 
@@ -311,14 +311,11 @@ def test_search_skips_blocks_and_keeps_ties(spark):
     ids = np.arange(len(texts))[::-1].copy()
     ids[7] = np.iinfo(np.int64).max
     s = search.Shard(t, ids, t.df, len(texts), float(t.length.mean()))
-    full = {}
-    for i in range(0, 60, 3):
-        q = np.unique(search.word_hashes(np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(texts[i])]))[0])
-        got = s.search(q, 10)
-        if not full:
-            idf = np.maximum(0.01, np.log(1 + (len(texts) - t.df + 0.5) / (t.df + 0.5)))
-            full = {"impact": idf[t.term] * (t.tf * 2.2) / (t.tf + 1.2 * (0.25 + 0.75 * t.length[t.doc] / t.length.mean()))}
-        want = np.round(np.bincount(t.doc, weights=np.where(np.isin(t.keys[t.term], q), full["impact"], 0.0)), 9)
+    idf = np.maximum(0.01, np.log(1 + (len(texts) - t.df + 0.5) / (t.df + 0.5)))
+    impact = idf[t.term] * (t.tf * 2.2) / (t.tf + 1.2 * (0.25 + 0.75 * t.length[t.doc] / t.length.mean()))
+    queries = [np.unique(search.word_hashes(np.frombuffer(texts[i].encode(), np.uint8), np.array([0, len(texts[i])]))[0]) for i in range(0, 60, 3)]
+    for q, got in zip(queries, s.search(queries, 10), strict=True):
+        want = np.round(np.bincount(t.doc, weights=np.where(np.isin(t.keys[t.term], q), impact, 0.0)), 9)
         best = np.lexsort((ids, -want))[:10]
         assert got[0].tolist() == ids[best].tolist() and np.allclose(got[1], want[best], atol=2e-9)
     assert s.skipped > 0 and s.visited > 0
