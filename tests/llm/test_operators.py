@@ -303,7 +303,8 @@ def test_search_skips_blocks_and_keeps_ties(spark):
     import pyarrow as pa
 
     rng = random.Random(3)
-    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)]) for _ in range(rng.choice([4, 30, 200]))) for _ in range(2500)]
+    vocab = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(vocab[int(len(vocab) ** rng.random()) - 1] for _ in range(rng.choice([4, 30, 200]))) for _ in range(2500)]
     texts += texts[:40] * 2
     t = search.Terms()
     t.add(pa.array(texts))
