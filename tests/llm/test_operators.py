@@ -502,6 +502,111 @@ def test_passages(docs):
     assert not flagged & (alone - near - repeated_inside - {7})
 
 
+def brute_passages(rows, threshold=0.8):
+    """(doc_id, start, end, cluster, removed) of lines and blocks, each compared with every other; no windows."""
+    places = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        spans = []
+        lines = [(m.start(), m.end()) for m in re.finditer(rb"[^\n]+", raw)]
+        spans += [(a, b, False) for a, b in lines]
+        spans += [(m.start(), m.end(), True) for m in re.finditer(rb"(?:[^\n]*[^\s][^\n]*(?:\n|$))+", raw) if len([x for x in m[0].split(b"\n") if WORD.search(x.decode())]) > 1]
+        for a, b, block in spans:
+            w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw[a:b])]
+            if len(w) >= 5:
+                places.append((d, a + w[0][0], a + w[-1][1], block, words(raw[a:b].decode())))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for *_, w in places]
+    root = list(range(len(places)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, j in combinations(range(len(places)), 2):
+        if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+            root[find(j)] = find(i)
+    member = defaultdict(list)
+    for i, x in enumerate(places):
+        member[find(i)].append(x)
+    return [sorted(m, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2])) for m in member.values() if len(m) > 1]
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_paragraph_clusters_match_brute_force(spark, monkeypatch, block):
+    """Every cluster of lines that brute force finds, its first document, and that all its other places go."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SMALL", 4 if block == 2 else 64)
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    long, short = fresh(80), fresh(6)
+    rows = []
+    for i in range(60):
+        lines = [" ".join(fresh(rng.choice([3, 12, 30]))) for _ in range(4)]
+        if i % 3 == 0:
+            w = list(long)
+            w[rng.randrange(80)] = f"edit{i}"
+            lines.insert(rng.randrange(4), " ".join(w))
+        if i % 4 == 0:
+            lines.insert(1, " ".join(short))
+        rows.append((i, "\n\n".join(lines)))
+    rows += [(60, None), (61, ""), (62, rows[3][1]), (None, "\n".join([" ".join(short)] * 2))]
+    got = {(r["doc_id"], r["start"], r["end"]): (r["cluster"], r["removed"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = 0
+    for cluster in brute_passages(rows):
+        lines = [x for x in cluster if not x[3]]
+        if len(lines) != len(cluster):
+            continue
+        for i, (d, a, b, _, _) in enumerate(lines):
+            assert got[d, a, b] == (lines[0][0], i > 0)
+            seen += 1
+    assert seen > 30
+
+
+def test_near_copy_recall(spark):
+    """Of pairs of paragraphs at an index of 0.8 or a little more, at least 0.9 are found."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        w = [f"r{rng.randrange(10**7)}" for _ in range(94)]
+        e = list(w)
+        e[10] = e[60] = "edit"  # 90 five-word shingles, ten of them changed: 80 of 100
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(e))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = {r["doc_id"] for r in passages.repeated_passages(d).filter("removed and end - start > 500").collect()}
+    assert len(lines) >= 0.9 * 300
+    assert jaccard.similar_documents(d).filter("links = 1").count() >= 0.9 * 600
+
+
+def test_large_buckets_are_joined_like_small_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 32, (5, 120), dtype=np.uint64).astype(np.uint32)
+    sig = base[rng.integers(0, 5, 400)].copy()
+    change = rng.random(sig.shape) < 0.1
+    sig[change] = rng.integers(0, 1 << 32, int(change.sum()), dtype=np.uint64).astype(np.uint32)
+    a = jaccard.labels(400, *jaccard.bucket_links(sig, 0.8))
+    b = jaccard.labels(400, *jaccard.survivors(sig, sig, True, 0.8))
+    assert (a == b).all() and len(set(a.tolist())) == 5
+
+
+def test_every_long_passage_has_a_window():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = passages.WINDOW + passages.PLACES - 1
+    for _ in range(200):
+        passage = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        cut = []
+        for _ in range(2):
+            a, b = (rng.integers(0, 1 << 62, rng.integers(0, 60)).astype(np.uint64) for _ in range(2))
+            h = np.concatenate((a, passage, b, passage[:9]))
+            woff = np.array([0, len(a) + n + len(b), len(h)])
+            at = passages.anchors(h, woff)
+            cut.append({tuple(h[i : i + passages.WINDOW].tolist()) for i in at.tolist()})
+        assert cut[0] & cut[1]
+
+
 # --- all ---
 
 

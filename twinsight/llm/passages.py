@@ -1,14 +1,17 @@
 """Repeated passages: paragraph MinHash banding, exact verification, clusters by components.
 
 Units of a text are its paragraphs of at least ``LEAST`` words, the length of a shingle, and windows of ``WINDOW`` words
-inside it that start at content-defined places (where the hash of three words is least among ``2 * RADIUS + 1``
-successive places), so a passage that other documents carry in the midst of a paragraph, or over several, has units of
-its own. Paragraphs are single lines, and blocks: wrapped lines up to a blank one (a text without blank lines is one).
+inside it that start at content-defined places (where the hash of three words is least among ``PLACES`` successive
+ones), so a passage of ``WINDOW + PLACES - 1`` words that other documents carry in the midst of a paragraph, or over
+several, always has a unit of its own. Paragraphs are single lines, and blocks: wrapped lines up to a blank one (a text without blank lines is one).
 
 * Paragraphs: MinHash bands tuned for recall (``BANDS`` of ``ROWS``: an index of 0.8 is missed twice in a thousand
   times), colliding paragraphs joined, exact Jaccard index of five-word shingles at ``threshold`` or more, components of
   verified links. Equal paragraphs are one unit before that; the units of a large bucket meet its least unit only.
-* Windows are alike if equal: their hash is the one band.
+* Windows are secondary: they are alike if equal (their index is 1), told by a 64-bit hash of their words' hashes. With n
+  distinct windows in all, some two differ under one hash with odds of about n**2 / 2**65.
+
+Units, classes and first occurrences are written before they are joined, so adaptive execution can split a hot key.
 
 Of every cluster the occurrence first by (document, place) stays, the others are to be removed. A block and a line in it
 do not repeat each other: where one is the first occurrence, the other stays too. Words are compared with A-Z lower-cased and white space left out of account.
@@ -29,27 +32,23 @@ from .jaccard import SHINGLE, alike, band_keys
 from .scratch import Scratch
 from .suffix import sliding_min
 
-LEAST, WINDOW, RADIUS = SHINGLE, 20, 4
+LEAST, WINDOW, PLACES = SHINGLE, 20, 16
 BANDS, ROWS = 12, 4
 
 
 def anchors(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
-    """Places of words where windows start."""
-    if len(h) < 3:
-        return np.zeros(0, np.int64)
-    x = span_hash(prefix_hash(mix(h)), np.arange(len(h) - 2), np.arange(3, len(h) + 1))
-    row = rows_of(woff)[: len(x)]
-    inside = np.arange(len(x)) + WINDOW <= woff[row + 1]  # the window, and so its first words, lie in the row
-    top = np.iinfo(np.uint64).max
-    apart = np.full(len(x) + RADIUS * (len(woff) + 1), top, np.uint64)
-    at = np.arange(len(x)) + RADIUS * (row + 1)
-    whole = np.arange(len(x)) + 3 <= woff[row + 1]
-    apart[at[whole]] = x[whole]
-    least = sliding_min(apart, 2 * RADIUS + 1)
-    ok = inside.copy()
-    ok &= at - RADIUS < len(least)
-    ok[ok] = least[at[ok] - RADIUS] == x[ok]
-    return np.flatnonzero(ok)
+    """Places of words where windows start: the first with the least hash of three words among every ``PLACES``
+    successive places (or those left in the text) with ``WINDOW`` words ahead."""
+    at = np.flatnonzero(np.arange(len(h)) + WINDOW <= np.repeat(woff[1:], np.diff(woff)))
+    if not len(at):
+        return at
+    row = rows_of(woff)[at]
+    n, low = np.arange(len(at)), np.uint64((1 << 28) - 1)
+    to = n + (PLACES - 1) * np.cumsum(np.diff(row, prepend=row[:1]) > 0)  # texts are set apart
+    value = np.full(to[-1] + PLACES, np.iinfo(np.uint64).max, np.uint64)
+    value[to] = (span_hash(prefix_hash(mix(h)), at, at + 3) & ~low) | n.astype(np.uint64)
+    least = (sliding_min(value, PLACES)[to] & low).astype(np.int64)
+    return at[least[np.append(True, least[1:] != least[:-1])]]
 
 
 def units(data: np.ndarray, off: np.ndarray):
@@ -120,7 +119,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         found = s.table(d.filter(F.octet_length("text") >= 2 * min(LEAST, WINDOW) - 1).mapInArrow(describe, f"doc_id {kind}, dk long, uid long, start int, end int, block boolean, keys array<long>"))
         place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "start")
         windows = found.filter(F.col("keys").isNull()).select("uid", "doc_id", "start", "end")
-        twice = windows.groupBy("uid").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1")
+        twice = s.table(windows.groupBy("uid").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1").select("uid", "first"))
         equal = s.table(windows.join(twice, "uid").select("doc_id", "start", "end", "first"), tidy=True)
         lines = found.filter(F.col("keys").isNotNull())
         classes = s.table(lines.groupBy("uid").agg(F.count("*").alias("c"), F.min(F.struct("dk", "start", "end")).alias("at"), F.first("keys").alias("keys")), tidy=True)
@@ -130,14 +129,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             return d.select("dk", "text").join(lists.hint("shuffle_hash"), "dk").select("text", "want").mapInArrow(fetch, "uid long, text string").dropDuplicates(["uid"])
 
         linked = s.table(alike(s, texts, classes.select("uid", F.explode("keys").alias("key")), threshold))
-        roots = classes.select("uid", "c").join(linked, "uid", "left").filter((F.col("c") > 1) | F.col("root").isNotNull()).select("uid", F.coalesce("root", "uid").alias("root"))
+        roots = s.table(classes.select("uid", "c").join(linked, "uid", "left").filter((F.col("c") > 1) | F.col("root").isNotNull()).select("uid", F.coalesce("root", "uid").alias("root")))
         member = s.table(lines.select("uid", "doc_id", "start", "end", "block").join(roots, "uid"), tidy=True)
         span = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "start", "end")
         line, block = F.when(~F.col("block"), span), F.when(F.col("block"), span)
         over = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["start"] < y["end"]) & (x["end"] > y["start"])
         first = member.groupBy("root").agg(F.min(span).alias("first"), F.min(line).alias("line"), F.min(block).alias("part"), F.count(line).alias("lines"), F.count(block).alias("parts"))
         # a block with a line that makes up most of it, and nothing else, is no repeat
-        first = first.filter(~F.coalesce((F.col("lines") == 1) & (F.col("parts") == 1) & over(F.col("line"), F.col("part")), F.lit(False)))
+        first = s.table(first.filter(~F.coalesce((F.col("lines") == 1) & (F.col("parts") == 1) & over(F.col("line"), F.col("part")), F.lit(False))))
         near = member.join(first, "root").withColumns({"own": F.when(F.col("block"), F.col("part")).otherwise(F.col("line")), "at": span})
         near = near.withColumn("stays", over(F.col("at"), F.col("first")) & F.col("own.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own.start") == F.col("start")))
         equal = equal.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
