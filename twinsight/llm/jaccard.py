@@ -322,6 +322,7 @@ def alike(s: Scratch, units: Callable[[DataFrame], DataFrame], bands: DataFrame,
     rows = rows.select("root", F.least("x", "other").alias("a"), F.greatest("x", "other").alias("b"), (F.col("x") > F.col("other")).alias("half"), "uid", "sig", "text").withColumnsRenamed({"a": "x", "b": "y"})
     links = rows.repartition(parts, "root", "x", "y").sortWithinPartitions("root", "x", "y", "uid").mapInArrow(groups(threshold), f"uid {kind}, label {kind}, links long")
     links = s.table(links.filter("links > 0"), tidy=True)
+    s.done(shared, signed_)
     final = components(s, links.select(F.col("uid").alias("a"), F.col("label").alias("b")))
     return links.groupBy("uid").agg(F.sum("links").alias("links")).join(final.withColumnRenamed("node", "uid"), "uid")
 

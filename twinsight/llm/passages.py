@@ -2,7 +2,7 @@
 
 Units of a text are its paragraphs of at least ``LEAST`` words, the length of a shingle, and windows of ``WINDOW`` words
 inside it that start at content-defined places (where the hash of three words is least among ``PLACES`` successive
-ones), so a passage of ``WINDOW + PLACES - 1`` words that other documents carry in the midst of a paragraph, or over
+ones), so a passage of over 50 words (``WINDOW + PLACES - 1`` at least) that other documents carry in the midst of a paragraph, or over
 several, always has a unit of its own. Paragraphs are single lines, and blocks: wrapped lines up to a blank one (a text without blank lines is one).
 
 * Paragraphs: MinHash bands tuned for recall (``BANDS`` of ``ROWS``: an index of 0.8 is missed twice in a thousand
@@ -32,7 +32,7 @@ from .jaccard import SHINGLE, alike, band_keys
 from .scratch import Scratch
 from .suffix import sliding_min
 
-LEAST, WINDOW, PLACES = SHINGLE, 20, 16
+LEAST, WINDOW, PLACES = SHINGLE, 20, 32
 BANDS, ROWS = 12, 4
 
 

@@ -60,6 +60,13 @@ class Scratch:
             self.spark._jvm.System.gc()
             time.sleep(0.4)
 
+    def done(self, *tables: DataFrame) -> None:
+        """Deletes tables of this block that no later step reads."""
+        for t in tables:
+            for p in [p for p in self.paths if any(p.rsplit("/", 1)[1] in f for f in t.inputFiles()[:1])]:
+                self.paths.remove(p)
+                self.drop(p)
+
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
