@@ -119,6 +119,46 @@ def test_suffix_matches_brute_force(docs, monkeypatch, length, gram, collection)
     assert sorted(got, key=repr) == sorted(repeats(table(docs), length), key=repr)
 
 
+def test_suffix_very_long_text(spark):
+    """A text over one stretch (and over a megabyte), with repeats across and inside stretches."""
+    import random
+
+    rng = random.Random(6)
+    passage = prose_of(rng, 60)
+    body = [prose_of(rng, 110_000), passage, prose_of(rng, 60_000), passage]
+    rows = [(1, " ".join(body)), (2, prose_of(rng, 30) + passage), (3, "x" * 700), (4, None)]
+    assert len(rows[0][1]) > 1 << 20
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in suffix.remove_repeats(d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got) == sorted(repeats(rows, 200))
+
+
+def prose_of(rng, n):
+    return " ".join(f"q{rng.randrange(10**7)}" for _ in range(n))
+
+
+def test_transform_and_common_prefixes():
+    """The segments on file against plain sorting of the aligned suffixes."""
+    import numpy as np
+
+    docs = [b"abracada", b"abracadb", b"xbracada", b"abracada"]
+    columns = [(c, np.array([t[c] + 1 for t in docs], np.int16)) for c in range(7, -1, -1)]
+    transform, common = suffix.Segments(), suffix.Segments()
+    got = suffix.construct(np.zeros(4, np.int64), columns, 4, 5, transform, common)
+    read = lambda f: (f.file.seek(0), np.frombuffer(f.file.read(), np.int16))[1]
+    bwt, lcp = read(transform).reshape(-1, 4), read(common).reshape(-1, 5)
+    order = list(range(4))
+    for k, c in enumerate(range(7, -1, -1)):
+        assert bwt[k].tolist() == [docs[i][c] + 1 for i in order]  # before the suffixes at c + 1
+        order = sorted(range(4), key=lambda i: (docs[i][c:], i))
+        ends = [docs[i][c:] for i in order]
+        for x in range(1, 4):
+            n = next((m for m, (p, q) in enumerate(zip(ends[x - 1], ends[x])) if p != q), len(ends[x]))
+            assert lcp[k + 1][x] == min(n, 5)
+    runs = {(d, a, b) for d, a, b in zip(*(x.tolist() for x in got))}
+    assert runs == {(0, 0, 4), (3, 0, 4), (2, 1, 4), (1, 0, 3)}
+
+
 # --- 4 ---
 
 

@@ -7,12 +7,14 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    bytes. Equal windows have equal minimisers at the same place, so pieces with different minimisers need never be
    compared, and pieces with the same one are aligned by it. Pieces are pre-aggregated by content: pieces that repeat
    within a stretch of texts (a phrase repeated without end makes one for every byte) leave it as one.
-2. *Construction.* Pieces whose minimiser has several contents go to the executors by minimiser. Aligned pieces are the
-   documents of a collection whose sorted suffixes and common prefixes are built column by column from the right: each
-   round inserts one symbol for every document, a stable sort by that symbol (its count plus its rank, as in the
-   backward step of a Burrows-Wheeler transform) gives the new order, and the common prefix of neighbours is one more
-   than the least on the way between their old places. Symbols are read from an external file, a column each round,
-   so memory holds a few numbers a document. A window repeats if its suffix shares ``length`` bytes with a neighbour.
+2. *Construction.* The contents of every minimiser that occurs twice go to the executors by minimiser; one that occurs
+   several times enters its collection twice. Aligned pieces are the documents of a collection whose suffixes are sorted
+   column by column from the right: each round inserts one symbol for every document, and a stable sort by that symbol
+   (its count plus its rank, as in the backward step of a Burrows-Wheeler transform) gives the new order. The symbols in
+   front of the sorted suffixes are the round's segment of the collection's transform, and the common prefix of
+   neighbours is one more than the least on the way between their old places. Symbols, transform and common prefixes lie
+   in sequential external files, a segment each round; a round reads the last segment and appends the next, so memory
+   holds one segment and the order. A window repeats if its suffix shares ``length`` bytes with a neighbour.
 3. *Spans.* Repeated windows are joined back to every occurrence of their piece and removed there.
 
 Strings are judged on the input and never cross documents. Only minimisers that occur twice go past the first
@@ -88,20 +90,41 @@ def cut_batch(column: pa.Array, length: int, gram: int):
             yield rows.start, a, cut(part, np.array([0, len(part)]), length, gram)
 
 
-def construct(group: np.ndarray, columns, count: int, length: int):
+class Segments:
+    """A sequential external file of 16-bit segments: one is appended each round, and the last one is read back."""
+
+    def __init__(self):
+        self.file, self.sizes = tempfile.TemporaryFile(), []
+
+    def append(self, segment: np.ndarray) -> None:
+        self.file.seek(0, 2)
+        self.file.write(np.ascontiguousarray(segment, np.int16))
+        self.sizes.append(len(segment))
+
+    def last(self) -> np.ndarray:
+        self.file.seek(-2 * self.sizes[-1], 2)
+        return np.frombuffer(self.file.read(2 * self.sizes[-1]), np.int16)
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def construct(group: np.ndarray, columns, count: int, length: int, transform: Segments, common: Segments):
     """Repeated windows of aligned documents, as (document, column, end) runs.
 
     ``columns`` yields, from the last column to the first, (column, a symbol for each document; 0 where it has none).
-    ``group`` holds each document's minimiser number, ascending.
+    ``group`` holds each document's minimiser number, ascending. ``transform`` and ``common`` get a segment each round:
+    the symbols that stand before the sorted suffixes of the round before, and the sorted suffixes' common prefixes.
     """
     order = np.arange(count)
-    common = np.zeros(count + 1, np.int16)
+    common.append(np.zeros(count + 1, np.int16))
     run_end = np.zeros(count, np.int16)
     before = np.zeros(count, bool)
     out = []
     column = 0
     for column, symbols in columns:
-        sym = symbols[order]
+        transform.append(symbols[order])
+        sym, was = transform.last().astype(np.int64), common.last()
         step = np.argsort(group[order] * 512 + sym, kind="stable")
         order, sym = order[step], sym[step]
         same = np.zeros(count, bool)
@@ -109,22 +132,24 @@ def construct(group: np.ndarray, columns, count: int, length: int):
         least = np.zeros(count, np.int16)
         i = np.flatnonzero(same)
         near = step[i] == step[i - 1] + 1
-        least[i[near]] = common[step[i[near]]]
+        least[i[near]] = was[step[i[near]]]
         far = i[~near]
         if len(far):
             far = far[np.argsort(-step[far - 1], kind="stable")]  # from the right: what lies between queries is empty
             ask = np.empty(2 * len(far), np.int64)
             ask[::2], ask[1::2] = step[far - 1] + 1, step[far] + 1
-            least[far] = np.minimum.reduceat(common, ask)[::2]
-        common[:count] = np.where(same, np.minimum(least + 1, length), 0)
-        hit = common[:count] >= length
+            least[far] = np.minimum.reduceat(was, ask)[::2]
+        now = np.zeros(count + 1, np.int16)
+        now[:count] = np.where(same, np.minimum(least + 1, length), 0)
+        common.append(now)
+        hit = now[:count] >= length
         hit[:-1] |= hit[1:]
-        now = np.zeros(count, bool)
-        now[order] = hit
-        run_end[now & ~before] = column + 1
-        if len(closed := np.flatnonzero(before & ~now)):
+        there = np.zeros(count, bool)
+        there[order] = hit
+        run_end[there & ~before] = column + 1
+        if len(closed := np.flatnonzero(before & ~there)):
             out.append((closed, np.full(len(closed), column + 1), run_end[closed].astype(np.int64)))
-        before = now
+        before = there
     if len(closed := np.flatnonzero(before)):
         out.append((closed, np.full(len(closed), column), run_end[closed].astype(np.int64)))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
@@ -135,8 +160,14 @@ class Collection:
 
     def __init__(self, width: int):
         self.width, self.file, self.blocks, self.count, self.held = width, tempfile.TemporaryFile(), [], 0, []
-
-    def add(self, data: np.ndarray, first: int) -> None:
+        self.keys, self.contents, self.firsts, self.group, self.copy = [], [], [], [], []
+
+    def add(self, mini: int, content: int, data: np.ndarray, first: int, copy: bool) -> None:
+        self.group.append(self.group[-1] + (mini != self.keys[-1]) if self.keys else 0)
+        self.keys.append(mini)
+        self.contents.append(content)
+        self.firsts.append(first)
+        self.copy.append(copy)
         self.held.append((data, first))
         if len(self.held) == BLOCK:
             self.flush()
@@ -148,7 +179,7 @@ class Collection:
                 m[i, first : first + len(data)] = data
                 m[i, first : first + len(data)] += 1
             self.blocks.append((self.file.tell(), len(m)))
-            self.file.write(np.ascontiguousarray(m.T).tobytes())
+            self.file.write(np.ascontiguousarray(m.T))
             self.count, self.held = self.count + len(m), []
 
     def columns(self):
@@ -157,36 +188,41 @@ class Collection:
             for at, n in self.blocks:
                 self.file.seek(at + 2 * n * c)
                 got.append(np.frombuffer(self.file.read(2 * n), np.int16))
-            yield c, np.concatenate(got).astype(np.int64)
+            yield c, np.concatenate(got)
+
+    def solve(self, length: int) -> pa.RecordBatch:
+        """Repeated runs of windows of every content; the files go when this is over."""
+        transform, common = Segments(), Segments()
+        try:
+            self.flush()
+            d, a, b = construct(np.array(self.group), self.columns(), self.count, length, transform, common)
+        finally:
+            for f in (self.file, transform, common):
+                f.close()
+        own = ~np.array(self.copy)[d]  # a content's second copy has the same runs
+        d, a, b = d[own], a[own], b[own]
+        first = np.array(self.firsts)[d]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(self.keys)[d]), pa.array(np.array(self.contents)[d]), pa.array((a - first).astype(np.int32)), pa.array((b - first).astype(np.int32))], ["mini", "content", "first", "last"])
 
 
 def repeated(length: int, gram: int):
-    """A mapInArrow function: rows (mini, content, anchor, bytes) sorted by mini to (mini, content, first, last) runs of windows."""
+    """A mapInArrow function: rows (mini, content, anchor, c, bytes) sorted by mini to (mini, content, first, last) runs of windows."""
     lead = length - gram
     width = lead + length
 
-    def solve(keys, contents, firsts, group, docs):
-        docs.flush()
-        d, a, b = construct(np.array(group), docs.columns(), docs.count, length)
-        docs.file.close()
-        first = np.array(firsts)[d]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(keys)[d]), pa.array(np.array(contents)[d]), pa.array((a - first).astype(np.int32)), pa.array((b - first).astype(np.int32))], ["mini", "content", "first", "last"])
-
     def run(batches):
-        keys, contents, firsts, group, docs = [], [], [], [], Collection(width)
+        docs = Collection(width)
         for batch in batches:
             data, off = column_bytes(batch["bytes"].cast(pa.binary()))
-            for i, (mini, content, anchor) in enumerate(zip(batch["mini"].to_pylist(), batch["content"].to_pylist(), batch["anchor"].to_pylist(), strict=True)):
-                if keys and mini != keys[-1] and len(keys) >= COLLECTION:
-                    yield solve(keys, contents, firsts, group, docs)
-                    keys, contents, firsts, group, docs = [], [], [], [], Collection(width)
-                group.append(group[-1] + (mini != keys[-1]) if keys else 0)
-                keys.append(mini)
-                contents.append(content)
-                firsts.append(lead - anchor)
-                docs.add(data[off[i] : off[i + 1]].copy(), lead - anchor)
-        if keys:
-            yield solve(keys, contents, firsts, group, docs)
+            for i, (mini, content, anchor, c) in enumerate(zip(*(batch[x].to_pylist() for x in ("mini", "content", "anchor", "c")), strict=True)):
+                if docs.keys and mini != docs.keys[-1] and len(docs.keys) >= COLLECTION:
+                    yield docs.solve(length)
+                    docs = Collection(width)
+                piece = data[off[i] : off[i + 1]].copy()
+                for copy in range(min(c, 2)):
+                    docs.add(mini, content, piece, lead - anchor, copy > 0)
+        if docs.keys:
+            yield docs.solve(length)
 
     return run
 
@@ -227,19 +263,19 @@ def spans(s: Scratch, docs: DataFrame, length: int, gram: int) -> DataFrame:
             to = np.concatenate(([0], np.cumsum(size)))
             at = np.arange(to[-1]) + np.repeat(off[row] + w.field("start").to_numpy() - to[:-1], size)
             cutout = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(data[at].tobytes())])
-            yield pa.RecordBatch.from_arrays([w.field("mini"), w.field("content"), w.field("anchor"), cutout], ["mini", "content", "anchor", "bytes"])
+            yield pa.RecordBatch.from_arrays([w.field("mini"), w.field("content"), w.field("anchor"), w.field("c"), cutout], ["mini", "content", "anchor", "c", "bytes"])
 
     found = s.table(docs.filter(F.octet_length("text") >= length).mapInArrow(describe, PIECE))
     known = s.table(found.filter("mini is null").select("dk", "tag", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")).alias("span")))
-    twice = found.filter("mini is not null").groupBy("mini").agg(F.sum("c").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("c > 1")
-    shared = s.table(tidy=True, df=found.join(twice.select("mini", (F.col("lo") != F.col("hi")).alias("several")), "mini"))
+    twice = found.filter("mini is not null").groupBy("mini").agg(F.sum("c").alias("c")).filter("c > 1").select("mini")
+    shared = s.table(tidy=True, df=found.join(twice, "mini"))
     s.drop(s.paths[-3])
-    classes = s.table(tidy=True, df=shared.groupBy("mini", "content").agg(F.sum("c").alias("c"), F.first("several").alias("several"), F.min(F.struct("dk", "tag", "start", "n", "anchor")).alias("r")))
-    want = classes.filter("several").groupBy("r.dk", "r.tag").agg(F.collect_list(F.struct(F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.anchor").alias("anchor"), "mini", "content")).alias("want"))
-    aligned = docs.join(want.hint("shuffle_hash"), ["dk", "tag"]).select("text", "want").mapInArrow(fetch, "mini long, content long, anchor int, bytes binary")
-    runs = aligned.repartition("mini").sortWithinPartitions("mini", "content").mapInArrow(repeated(length, gram), "mini long, content long, first int, last int")
-    whole = classes.filter("c > 1").select("mini", "content", F.lit(0).alias("first"), F.col("r.n").alias("last"))
-    marks = s.table(tidy=True, df=runs.join(whole, ["mini", "content"], "left_anti").unionByName(whole))
+    classes = shared.groupBy("mini", "content").agg(F.sum("c").alias("c"), F.min(F.struct("dk", "tag", "start", "n", "anchor")).alias("r"))
+    want = classes.groupBy("r.dk", "r.tag").agg(F.collect_list(F.struct(F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.anchor").alias("anchor"), "mini", "content", F.least("c", F.lit(2)).cast("int").alias("c"))).alias("want"))
+    aligned = docs.join(want.hint("shuffle_hash"), ["dk", "tag"]).select("text", "want").mapInArrow(fetch, "mini long, content long, anchor int, c int, bytes binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = aligned.repartition(parts, "mini").sortWithinPartitions("mini", "content").mapInArrow(repeated(length, gram), "mini long, content long, first int, last int")
+    marks = s.table(tidy=True, df=runs)
     span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + (length - 1)).alias("b"))
     every = shared.join(marks, ["mini", "content"]).select("dk", "tag", span.alias("span")).unionByName(known)
     return every.groupBy("dk", "tag").agg(F.collect_set("span").alias("spans"))
