@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from twinsight.config import Caps
+from twinsight.config import Caps, Config, Retrieval
 from twinsight.operators import evaluation, index, judge, limits, retrieval, rules
 from twinsight.plans import reports
 from twinsight.plans.store import Store
@@ -212,6 +212,60 @@ def test_stream_decisions(spark, tmp_path):
     assert got == {0: (1, 1, True), 1: (2, 2, True), 2: (3, 3, False), 3: (1, 4, True), 4: (1, 1, True)}
 
 
+def test_late_claims_count_in_their_own_hour(spark, tmp_path):
+    """10:01, 10:02, then a late 9:59, then 10:03: the last is the third of its hour."""
+    claims(spark, []).write.parquet(str(tmp_path / "c"))
+    stream = spark.readStream.schema("event_id long, caller string, ts timestamp, cost double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "c"))
+    q = decide(stream, Caps(per_caller_hour=2)).writeStream.format("memory").queryName("late").start()
+    try:
+        for i, minute in enumerate((601, 602, 599, 603)):
+            one = spark.createDataFrame([(i, "a", DAY + dt.timedelta(minutes=minute), 0.0)], "event_id long, caller string, ts timestamp, cost double").coalesce(1)
+            one.write.mode("append").parquet(str(tmp_path / "c"))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r["event_id"]: (r["hour_n"], r["day_n"], r["ok"]) for r in spark.table("late").collect()}
+    assert got == {0: (1, 1, True), 1: (2, 2, True), 2: (1, 3, True), 3: (3, 4, False)}
+
+
+def test_fractions_name_no_candidate(spark):
+    reply = json.dumps({"results": [{"number": 12.7, "verdict": "related", "likelihood": 5}, {"number": 12.0, "verdict": "series", "likelihood": 6}]})
+    v = judge.validate(spark.createDataFrame([(1, reply, None)], "qid long, reply string, error string"), spark.createDataFrame([(1, 12)], "qid long, number long")).collect()
+    assert [(r["number"], r["verdict"], r["dropped"]) for r in v] == [(12, "series", 1)]
+
+
+def test_scorer_that_hangs_is_an_error():
+    import time
+
+    began = time.time()
+    assert judge.call(lambda s, u: time.sleep(5), "x", 0.2) == (None, "no reply within 0.2 s")
+    assert time.time() - began < 3
+    assert judge.call(lambda s, u: u, "x", 5) == ("x", None)
+
+
+def test_verdict_cache_is_asked_once(store, tmp_path):
+    q = store.items.sparkSession.createDataFrame([(900, "ISSUE", "panic in flattenJump when target missing", "stack trace alpha beta gamma panic flattenJump target"), (901, "ISSUE", "zzz", "qqq")], "qid long, kind string, title string, body string")
+    log, cache = tmp_path / "calls", str(tmp_path / "cache")
+
+    def scorer(system, user):
+        with log.open("a") as f:
+            f.write("call\n")
+        return judge.stub_scorer(system, user)
+
+    def broken(system, user):
+        raise ValueError("down")
+
+    cfg = Config(retrieval=Retrieval(short_circuit_score=1.0))
+    s = Store(store.items, store.index, config=cfg)
+    first = s.analyze(q, scorer, cache=cache, base="https://x.example/").collect()
+    again = s.analyze(q, broken, cache=cache, base="https://x.example/").collect()
+    key = lambda rows: sorted((r["qid"], r["number"], r["verdict"], r["likelihood"], r["source"], r["url"], r["is_new"]) for r in rows)
+    assert key(first) == key(again) and {r["source"] for r in first} == {"judge"} and first[0]["url"].startswith("https://x.example/issues/")
+    assert log.read_text().count("call") == 1
+    other = s.analyze(q, broken, cache=str(tmp_path / "other")).collect()
+    assert {r["source"] for r in other} == {"retrieval"} and "down" in other[0]["judge_error"]
+
+
 def test_pair_queries_have_every_pair_and_the_twin_rows(spark):
     import duckdb
 
@@ -230,8 +284,10 @@ def test_pair_queries_have_every_pair_and_the_twin_rows(spark):
     for name, rows in got.items():
         have = {(r["a"], r["b"]): tuple(r)[2:] for r in rows}
         assert len(rows) == len(have) and set(have) == set(want)
-        for a, b, *values in con.execute(ORACLE[name]).fetchall():
-            assert have[min(a, b), max(a, b)] == pytest.approx(tuple(values), abs=2e-9)
+        twin = con.execute(ORACLE[name]).fetchall()
+        assert len(twin) == len(have)
+        for a, b, *values in twin:
+            assert have[a, b] == pytest.approx(tuple(values), abs=2e-9)
     for r in got["file_jaccard_pairs"]:
         n = want[r["a"], r["b"]]
         assert r["j"] == pytest.approx(n / (len(prs[r["a"]]) + len(prs[r["b"]]) - n), abs=1e-9)

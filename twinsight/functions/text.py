@@ -33,6 +33,8 @@ CALLER = r"[^\w.:-]"
 #: White space as web text means it; the regular expression classes of the JVM and RE2 know ASCII only.
 SPACE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 URL = URL.replace("{space}", SPACE)
+#: What a token must have to fall into parts at HUMP, ACRONYM or PARTS.
+SPLITS = r"[_.\-/]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 TITLE_PREFIX = TITLE_PREFIX.replace("{space}", SPACE)
 
 
@@ -48,7 +50,8 @@ def expand_identifier(token: Column) -> Column:
     """The token, and its parts at humps and punctuation if at least two are longer than 2."""
     humps = F.regexp_replace(F.regexp_replace(token, HUMP, "$1 $2"), ACRONYM, "$1 $2")
     parts = F.filter(F.split(humps, PARTS), lambda p: F.length(p) > 2)
-    return F.when(F.size(parts) > 1, F.concat(F.array(token), parts)).otherwise(F.array(token))
+    split = F.when(F.size(parts) > 1, F.concat(F.array(token), parts)).otherwise(F.array(token))
+    return F.when(token.rlike(SPLITS), split).otherwise(F.array(token))  # most tokens have one part
 
 
 def tokenize(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Usage limits over a log of claims (event_id, caller, ts, cost): counters, verdicts and spend, as windows.
 
 Every attempt counts, also a denied one. Fixed windows are calendar hours and days in UTC; rolling windows are the last
-3600 and 86400 seconds. A day of all callers meets in one task only in :func:`global_counts`, which therefore counts by
-minute first and adds the rank within the minute.
+3600 and 86400 seconds. A day of all callers never meets in one task: counts and spend are summed by minute first, and
+the rank or sum within the minute is added.
 """
 
 from __future__ import annotations
@@ -44,12 +44,15 @@ def verdicts(counted: DataFrame, caps: Caps = Caps()) -> DataFrame:
     ceiling it never falls, so the prefix sum is exact although later calls are then denied.
     """
     hour, day, all_ = F.col("hour_n") > caps.per_caller_hour, F.col("day_n") > caps.per_caller_day, F.col("global_n") > caps.global_day
-    c = counted.withColumn("charged", F.when(~(hour | day | all_), F.coalesce("cost", F.lit(0.0))).otherwise(0.0)).withColumn("month_key", F.date_trunc("month", "ts")).withColumn("day_key", F.date_trunc("day", "ts"))
-    days = c.groupBy("month_key", "day_key").agg(F.sum("charged").alias("sum"))
-    earlier = F.sum("sum").over(Window.partitionBy("month_key").orderBy("day_key").rowsBetween(Window.unboundedPreceding, -1))
-    c = c.join(days.select("day_key", F.coalesce(earlier, F.lit(0.0)).alias("earlier")), "day_key")
-    within = F.sum("charged").over(Window.partitionBy("day_key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("spend_before", F.round(F.col("earlier") + F.coalesce(within, F.lit(0.0)), 6)).drop("charged", "month_key", "day_key", "earlier")
+    c = counted.withColumn("charged", F.when(~(hour | day | all_), F.coalesce("cost", F.lit(0.0))).otherwise(0.0)).withColumns({f"{u}_key": F.date_trunc(u, "ts") for u in ("month", "day", "minute")})
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    minutes = c.groupBy("month_key", "day_key", "minute_key").agg(F.sum("charged").alias("sum"))
+    days = minutes.groupBy("month_key", "day_key").agg(F.sum("sum").alias("sum"))
+    days = days.select("day_key", F.coalesce(F.sum("sum").over(before("month_key").orderBy("day_key")), F.lit(0.0)).alias("days"))
+    minutes = minutes.select("day_key", "minute_key", F.coalesce(F.sum("sum").over(before("day_key").orderBy("minute_key")), F.lit(0.0)).alias("minutes"))
+    earlier = minutes.join(days, "day_key").select("minute_key", (F.col("days") + F.col("minutes")).alias("earlier"))
+    within = F.sum("charged").over(before("minute_key").orderBy("ts", "event_id"))
+    c = c.join(earlier, "minute_key").withColumn("spend_before", F.round(F.col("earlier") + F.coalesce(within, F.lit(0.0)), 6)).drop("charged", "month_key", "day_key", "minute_key", "earlier")
     over = F.col("spend_before") >= caps.monthly_usd
     code = F.when(over, "BUDGET").when(hour | day, "RATE").when(all_, "BUDGET")
     message = F.when(over, "monthly budget reached").when(hour, f"rate limit: {caps.per_caller_hour}/hour").when(day, f"rate limit: {caps.per_caller_day}/day").when(all_, "daily budget reached")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, judge, retrieval, rules
@@ -80,11 +81,11 @@ def file_idf(spark, sf_dir):
     return rules.file_idf(frames.pull_requests(spark, sf_dir)).withColumn("idf", F.round("idf", 9))
 
 
-_PAIRS = f"{_FILES}, pairs AS (SELECT qid AS a, number AS b FROM overlap)"
+_PAIRS = f"WITH {O.PRS}, pairs AS (SELECT DISTINCT x.number AS a, y.number AS b FROM pr_files x JOIN pr_files y ON y.file = x.file AND x.number < y.number)"
 
 
 def _pr_pairs(spark, sf_dir):
-    """All pairs of pull requests that share a file; the SQL has those of the searches' query set only, each from its side."""
+    """All pairs of pull requests that share a file, each once (a < b)."""
     return rules.shared_file_pairs(frames.pull_requests(spark, sf_dir))
 
 
@@ -267,21 +268,85 @@ def judge_stub(spark, sf_dir):
     return v.withColumn("dropped", F.col("dropped").cast("long"))
 
 
-@query()
+_PLACES = "CASE least(f.rnk, 6) WHEN 1 THEN 'duplicate' WHEN 2 THEN 'subsumes' WHEN 3 THEN 'subsumed_by' WHEN 4 THEN 'series' WHEN 5 THEN 'related' ELSE 'unrelated' END AS verdict, greatest(0, 95 - 20 * (f.rnk - 1))::DOUBLE AS likelihood, 'place ' || f.rnk AS reason"
+
+
+@query(
+    f"""{_REPORT}, wide AS ({O.fused({'bm25': 'lexical', 'files': 'overlap'}, 12).strip().removeprefix('fused AS (').removesuffix(')')}),
+v AS (SELECT qid AS a, number AS b, {_PLACES} FROM wide f),
+named AS (
+  SELECT DISTINCT least(m.number, m.issue) AS lo, greatest(m.number, m.issue) AS hi FROM (SELECT number, CAST(unnest(regexp_extract_all(body, '#(\\d+)\\b', 1)) AS BIGINT) AS issue FROM items WHERE kind = 'PR') m
+  JOIN items i ON i.number = m.issue AND i.kind = 'ISSUE'
+), p AS (SELECT a, b, lo, hi, CAST(round(dup * 100) AS INTEGER) AS rule FROM scored WHERE dup >= 0.35::DOUBLE)
+SELECT p.a, p.b, p.rule, CASE WHEN n.lo IS NOT NULL THEN 'implements (linked work)' ELSE v.verdict END AS verdict, v.likelihood, coalesce(v.reason, '') AS reason,
+  n.lo IS NULL AND coalesce(v.likelihood >= 70 AND v.verdict IN ('duplicate', 'subsumes', 'subsumed_by'), false) AS kept
+FROM p LEFT JOIN v ON v.a = p.a AND v.b = p.b LEFT JOIN named n ON n.lo = p.lo AND n.hi = p.hi WHERE p.rule >= 50"""
+)
 def verify_split(spark, sf_dir):
     store = _store(spark, sf_dir)
     return store.verify(store.report(), judge.stub_scorer)
 
 
-@query()
+@query(
+    f"""WITH {O.ITEMS}, {O.index('items')}, {_BENCH}, {O.bm25('bench', 50)}, {O.fused({'bm25': 'lexical'}, 12)}, best AS (SELECT qid, max(raw) AS raw FROM lexical GROUP BY qid)
+SELECT f.qid, f.number, CAST(f.rnk AS INTEGER) AS rnk, f.fused, CAST(f.bm25_rank AS INTEGER) AS bm25_rank, {_PLACES}, 'https://example.org/project/issues/' || f.number AS url, false AS is_new,
+  'judge' AS source, NULL::VARCHAR AS judge_error FROM fused f JOIN best b USING (qid) WHERE b.raw >= 10"""
+)
 def analyze(spark, sf_dir):
-    out = _store(spark, sf_dir).analyze(_bench(spark, sf_dir), judge.stub_scorer)
-    return out.select("qid", "number", "rnk", "fused", "bm25_rank", "verdict", "likelihood", "reason", "source", "judge_error")
+    out = _store(spark, sf_dir).analyze(_bench(spark, sf_dir), judge.stub_scorer, base="https://example.org/project")
+    return out.select("qid", "number", "rnk", "fused", "bm25_rank", "verdict", "likelihood", "reason", "url", "is_new", "source", "judge_error")
+
+
+@query(
+    f"""{_CANDS}, v AS (SELECT f.qid, f.number, {_PLACES} FROM lexical f), o AS (
+  SELECT *, CASE verdict WHEN 'duplicate' THEN 0 WHEN 'subsumed_by' THEN 1 WHEN 'subsumes' THEN 2 WHEN 'series' THEN 3 WHEN 'related' THEN 4 ELSE 5 END AS k FROM v)
+SELECT qid, number, verdict, CAST(row_number() OVER (PARTITION BY qid ORDER BY k, likelihood DESC, number) AS INTEGER) AS shown FROM o"""
+)
+def verdict_display_order(spark, sf_dir):
+    """Verdicts of a query as they are shown: by kind of verdict, then likelihood."""
+    c = _candidates(spark, sf_dir)
+    v = judge.validate(judge.ask(judge.prompts(_bench(spark, sf_dir), c), judge.stub_scorer), c)
+    shown = F.row_number().over(Window.partitionBy("qid").orderBy(judge.verdict_order(F.col("verdict")), F.desc("likelihood"), "number"))
+    return v.select("qid", "number", "verdict", shown.alias("shown"))
+
+
+_SELF = f"""WITH {O.ITEMS}, {O.index('items')}, asked AS (SELECT number AS qid, NULL::BIGINT AS exclude, title, body FROM items WHERE number % 50 = 0), {O.bm25('asked', 5)}"""
+
+
+@query(f"{_SELF} SELECT count(DISTINCT qid) AS queries, count(*) FILTER (qid = number AND rnk = 1) AS first FROM lexical")
+def self_match_control(spark, sf_dir):
+    """Positive control: items of the search's query set find themselves first."""
+    asked = frames.text_items(spark, sf_dir).filter(F.col("number") % 50 == 0).withColumn("qid", F.col("number"))
+    return evaluation.self_match(retrieval.bm25(frames.text_index(spark, sf_dir), asked, 5))
+
+
+_VERIFIED = """WITH s AS (
+  SELECT l.doc_id AS a, l.doc_id + 1 AS b, CAST(length(text) % 101 AS INTEGER) AS rule, CASE WHEN quality = 1 THEN 'subsumed_by' ELSE 'related' END AS verdict,
+    CASE WHEN toxic = 0 THEN (length(text) % 101)::DOUBLE END AS likelihood, 'by ' || source AS reason, quality = 1 AND toxic = 0 AS kept
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+)"""
+
+
+@query(
+    f"""{_VERIFIED} SELECT 'kept' AS section, CAST(row_number() OVER (ORDER BY likelihood DESC, a, b) AS INTEGER) AS pos,
+  '| **' || CAST(likelihood AS BIGINT) || '** | #' || a || ' | #' || b || ' | ' || replace(verdict, '_', ' ') || ' | ' || reason || ' |' AS line FROM s WHERE kept
+UNION ALL SELECT 'dropped', CAST(row_number() OVER (ORDER BY rule DESC, a, b) AS INTEGER),
+  '| ' || rule || ' | ' || coalesce(CAST(CAST(likelihood AS BIGINT) AS VARCHAR), '-') || ' | #' || a || ' | #' || b || ' | ' || verdict || ' |' FROM s WHERE NOT kept"""
+)
+def verified_report(spark, sf_dir):
+    """Lines of the verified report, kept ones by likelihood and dropped ones by rule score."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    n = F.length("text") % 101
+    rows = d.select(
+        F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), n.alias("rule"), F.when(F.col("quality") == 1, "subsumed_by").otherwise("related").alias("verdict"),
+        F.when(F.col("toxic") == 0, n.cast("double")).alias("likelihood"), F.concat(F.lit("by "), "source").alias("reason"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("kept"),
+    )
+    return reports.verified_lines(rows)
 
 
 @query(
     f"WITH {O.ITEMS}, {O.index('items')} SELECT count(*) AS items, count(*) FILTER (kind = 'ISSUE') AS issues, count(*) FILTER (kind = 'PR') AS prs, count(*) FILTER (state = 'OPEN') AS open, count(*) FILTER (merged) AS merged, "
-    "(SELECT n FROM stats) AS indexed, (SELECT round(avg_len, 9) FROM stats) AS avg_len, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS updated FROM items"
+    "(SELECT n FROM stats) AS indexed, (SELECT round(avg_len, 9) FROM stats) AS avg_len, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS updated, true AS judge_configured, 'memory' AS limiter, false AS live, CAST(7 AS BIGINT) AS used_today, CAST(300 AS BIGINT) AS daily_cap FROM items"
 )
 def health(spark, sf_dir):
-    return _store(spark, sf_dir).health().withColumn("avg_len", F.round("avg_len", 9))
+    return _store(spark, sf_dir).health(judge.stub_scorer, used_today=7).withColumn("avg_len", F.round("avg_len", 9))

@@ -11,6 +11,7 @@ from ..operators import rules, tallies
 from . import frames
 from . import oracle as O
 from .registry import query, table
+from .reports import item_url
 
 
 @query(f"WITH {O.ITEMS.split('), order_files')[0]}) SELECT number, len({O.tokens('title')}) AS n_title, len({O.tokens('body')}) AS n_body, array_to_string({O.tokens('title')}, ' ') AS title_terms, md5(array_to_string({O.tokens('body')}, ' ')) AS body_terms FROM raw_items")
@@ -223,3 +224,35 @@ def display_fields(spark, sf_dir):
         T.caller_id(F.concat_ws("|", "props", "event_type")).alias("caller"),
         T.html_escape(F.concat("props", F.lit("<b>&"))).alias("escaped"),
     )
+
+
+@query(
+    f"WITH {O.ITEMS} SELECT number, CASE WHEN state = 'OPEN' THEN 'open' WHEN coalesce(merged, false) THEN 'merged' ELSE 'closed' END AS label, 'https://example.org/project/issues/' || number AS url FROM items"
+)
+def item_labels(spark, sf_dir):
+    """How an item's state is shown, and where it lies."""
+    return frames.full_items(spark, sf_dir).select("number", T.state_label(F.col("state"), F.col("merged")).alias("label"), item_url("https://example.org/project/", F.col("number")).alias("url"))
+
+
+_PASTED = "(SELECT p_partkey AS id, '  a/' || p_type || '/' || p_brand || chr(10) || chr(10) || 'b/' || p_name || ' ' || chr(10) || p_type AS lines FROM part)"
+
+
+@query(f"SELECT id, list_aggregate(list_filter(list_transform(string_split(lines, chr(10)), lambda x: regexp_replace(trim(x), '^[ab]/', '')), lambda x: x <> ''), 'string_agg', '|') AS paths FROM {_PASTED}")
+def pasted_paths(spark, sf_dir):
+    """A pasted list of changed files, cleaned."""
+    p = table(spark, sf_dir, "part")
+    lines = F.concat(F.lit("  a/"), "p_type", F.lit("/"), "p_brand", F.lit("\n\nb/"), "p_name", F.lit(" \n"), "p_type")
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(T.clean_paths(lines), "|").alias("paths"))
+
+
+@query(
+    "WITH f AS (SELECT l_orderkey AS doc_id, list(DISTINCT l_partkey ORDER BY l_partkey) AS parts FROM lineitem GROUP BY 1) "
+    "SELECT doc_id, md5(substr(text, 1, 200)) AS title, md5(substr(text, 1, 4000)) AS body, len(list_slice(list_concat(list_concat(parts, range(100, 150)), range(200, 220)), 1, 60)) AS n_files FROM documents JOIN f USING (doc_id)"
+)
+def capped_request(spark, sf_dir):
+    """What a request may carry of a long title, a long body and many paths."""
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set("l_partkey").alias("parts"))
+    d = table(spark, sf_dir, "documents").join(parts, "doc_id")
+    files = F.concat("parts", F.sequence(F.lit(100), F.lit(149)).cast("array<long>"), F.sequence(F.lit(200), F.lit(219)).cast("array<long>"))
+    c = T.capped_input(F.col("text"), F.col("text"), files)
+    return d.select("doc_id", F.md5(c["title"]).alias("title"), F.md5(c["body"]).alias("body"), F.size(c["files"]).cast("long").alias("n_files"))

@@ -10,7 +10,7 @@ from ..config import Caps
 from ..operators import evaluation, judge, limits
 from ..operators.index import document_frequency
 from ..sources import adapters
-from ..streaming.limits import decide
+from ..streaming.limits import day_counts, decide
 from ..streaming.live import LiveStore
 from . import frames
 from . import text_queries  # noqa: F401 - registers the twin of stream_fold
@@ -134,6 +134,33 @@ def verdict_cache_key(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", judge.cache_key(F.lit(""), F.col("text"), F.lit(None).cast("array<string>"), F.lit(n)).alias("key"))
 
 
+@query(
+    "WITH c AS (SELECT CASE event_id % 4 WHEN 0 THEN 'deepseek-v4-flash' WHEN 1 THEN 'deepseek-v4-pro' WHEN 2 THEN 'llama-3.1-8b-instant' ELSE 'other' END AS m, CASE WHEN event_id % 7 > 0 THEN user_id * 10 END AS i, CAST(floor(value) AS BIGINT) AS o FROM events), "
+    "u AS (SELECT coalesce(i, 0) AS i, o, (coalesce(i, 0) * CASE m WHEN 'deepseek-v4-flash' THEN 0.14::DOUBLE WHEN 'deepseek-v4-pro' THEN 0.435::DOUBLE WHEN 'llama-3.1-8b-instant' THEN 0.05::DOUBLE ELSE 0.5::DOUBLE END "
+    "+ o * CASE m WHEN 'deepseek-v4-flash' THEN 0.28::DOUBLE WHEN 'deepseek-v4-pro' THEN 0.87::DOUBLE WHEN 'llama-3.1-8b-instant' THEN 0.08::DOUBLE ELSE 1.0::DOUBLE END) / 1e6 AS usd FROM c) "
+    "SELECT count(*) AS calls, CAST(sum(i) AS BIGINT) AS prompt_tokens, CAST(sum(o) AS BIGINT) AS completion_tokens, round(sum(usd), 6) AS usd, round(sum(usd) / count(*), 9) AS usd_per_call FROM u"
+)
+def token_totals(spark, sf_dir):
+    """Tokens and dollars of all calls, and dollars a call."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 4
+    model = F.when(k == 0, "deepseek-v4-flash").when(k == 1, "deepseek-v4-pro").when(k == 2, "llama-3.1-8b-instant").otherwise("other")
+    calls = e.select(model.alias("model"), F.when(F.col("event_id") % 7 > 0, F.col("user_id") * 10).alias("prompt_tokens"), F.floor("value").alias("completion_tokens"))
+    return judge.totals(calls).withColumns({"usd": F.round("usd", 6), "usd_per_call": F.round("usd_per_call", 9)})
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(*) AS attempts FROM events GROUP BY 1")
+def stream_day_counts(spark, sf_dir):
+    """The day's counter of all callers, as a stream."""
+    events = table(spark, sf_dir, "events")
+    path = f"{sf_dir}/events.parque[t]"  # a pattern, as the table may be one file
+    claims = adapters.claims(spark.readStream.schema(events.schema).parquet(path))
+    name = f"days_{abs(hash(path))}"
+    q = day_counts(claims).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()  # a row a day
+    q.awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "attempts")
+
+
 @query(ORACLE["fold_df"])
 def stream_fold(spark, sf_dir):
     """Folds the delta through a stream and returns the folded document frequencies."""
