@@ -121,8 +121,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         windows = found.filter(F.col("keys").isNull()).select("uid", "doc_id", "start", "end")
         twice = s.table(windows.groupBy("uid").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1").select("uid", "first"))
         equal = s.table(windows.join(twice, "uid").select("doc_id", "start", "end", "first"), tidy=True)
-        lines = found.filter(F.col("keys").isNotNull())
-        classes = s.table(lines.groupBy("uid").agg(F.count("*").alias("c"), F.min(F.struct("dk", "start", "end")).alias("at"), F.first("keys").alias("keys")), tidy=True)
+        keyed = found.filter(F.col("keys").isNotNull())
+        classes = s.table(keyed.groupBy("uid").agg(F.count("*").alias("c"), F.min(F.struct("dk", "start", "end")).alias("at"), F.first("keys").alias("keys")), tidy=True)
+
+        lines = s.table(keyed.select("uid", "doc_id", "start", "end", "block"), tidy=True)
+        s.done(found, twice)  # band keys lie in the classes from here on
 
         def texts(wanted):
             lists = classes.select("uid", "at").join(wanted, "uid").groupBy("at.dk").agg(F.collect_list(F.struct("uid", F.col("at.start").alias("start"), F.col("at.end").alias("end"))).alias("want"))
