@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, in stages that each write and reread their documents."""
+"""From raw documents to packed training sequences, in stages that each write and reread their documents.
+
+Defined results: null and empty texts, and texts without a letter, go in the first stage; null ids, languages and sources
+are values like others; rows with equal id and text are copies of each other, of which the second stage keeps one; ties
+go to the least id, then the least hash; extra columns of any name travel through all stages but the last; an empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,8 @@ from twinsight.llm.scratch import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (``und``) go."""
+    """Documents go whose language cannot be told (``und``), or that every language codes in more bits than their plain
+    bytes and a grace."""
     return langid.keep_known(docs)
 
 
