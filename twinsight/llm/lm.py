@@ -10,8 +10,10 @@ The automaton grows with the corpus and is never held whole. Texts are dealt to
 sends its distinct words and bigrams, with training counts, as packed sorted arrays to the shards that own them (a word
 and its successors live on one shard; successors of hot words are spread over several). Shards add up counts over all
 blocks and answer every block with just the arcs and states that it asked for, aligned with the question. A block then
-walks its own texts over its part of the automaton, all texts in step. What is hot is told from a sample; it decides
-placement only, never a number.
+walks its own texts over its part of the automaton, all texts in step. What is hot is told from a sample of about
+``SAMPLE`` bytes, read where it lies; it decides placement only, never a number. A block writes to the shards that own
+something of its own, so its rows are at most its distinct n-grams, and tasks take one block or shard at a time, so
+their number (``TASKS`` at most) need not follow the corpus.
 
 Defined results: null or empty text is the end token alone; A-Z are lower-cased; null ids belong to the training fold;
 equal rows each count; an empty table gives an empty result; other columns are ignored.
@@ -29,7 +31,9 @@ from .scratch import Scratch
 
 BLOCK = 8 << 20
 BEGIN, END = U64(0x5EED_0F_BE61), U64(0x5EED_0F_E4D0)
-SAMPLE_ROWS = 2000
+SAMPLE = 16 << 20
+TASKS = 4096
+HOT = 1 << 16
 ASK = "shard int, block int, kind int, words binary, counts binary, fanout binary, heads binary, tails binary, pairs binary"
 REPLY = "block int, kind int, shard int, counts binary, fan binary, pairs binary"
 
@@ -40,10 +44,25 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hash(prefix_hash(data), s, e), woff
 
 
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, missing: int = 0) -> np.ndarray:
+    """The value of each key in a sorted table."""
+    if not len(known):
+        return np.full(len(keys), missing, np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], missing)
+
+
+def sorted_table(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values, by key, of (signed key, value) rows."""
+    keys = np.array([r[0] for r in rows], np.int64).view(U64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r[1] for r in rows], np.int64)[order]
+
+
 class Block:
     """The tokens of a block's texts and its distinct words and bigrams, ordered by owning shard."""
 
-    def __init__(self, shards: int, hot: dict[int, int]):
+    def __init__(self, shards: int, hot: tuple[np.ndarray, np.ndarray]):
         self.shards, self.hot, self.hashes, self.sizes, self.train = shards, hot, [], [], []
 
     def add(self, column: pa.Array, train: np.ndarray) -> None:
@@ -80,8 +99,7 @@ class Block:
         pair, self.arc = np.unique(before * len(keys) + self.word, return_inverse=True)
         self.arc_counts = np.bincount(self.arc, weights=train, minlength=len(pair)).astype(np.int64)
         self.head, self.tail = pair // len(keys), pair % len(keys)
-        salts = np.array([self.hot.get(k, 0) for k in self.keys.tolist()]) if self.hot else np.zeros(len(keys), np.int64)
-        salt = salts[self.head]
+        salt = looked_up(self.keys, *self.hot)[self.head]
         self.cold = salt == 0
         spread = mix(self.keys[self.tail[~self.cold]]) % salt[~self.cold].astype(U64)
         owner = (self.shard[self.head[~self.cold]] + 1 + spread.astype(np.int64)) % self.shards
@@ -91,10 +109,11 @@ class Block:
         self.fanout = np.bincount(self.head[self.kept], minlength=len(keys))
 
     def cuts(self):
-        """(shard, slice of words, slice of kept arcs, slice of spread arcs) of every shard."""
-        at = np.arange(self.shards + 1)
-        w, k, s = np.searchsorted(self.shard, at), np.searchsorted(self.shard[self.head[self.kept]], at), np.searchsorted(self.spread_shard, at)
-        return [(p, slice(w[p], w[p + 1]), slice(k[p], k[p + 1]), slice(s[p], s[p + 1])) for p in range(self.shards)]
+        """(shard, slice of words, slice of kept arcs, slice of spread arcs) of every shard that owns any."""
+        own = np.union1d(self.shard, self.spread_shard)
+        cut = lambda x: zip(np.searchsorted(x, own, "left").tolist(), np.searchsorted(x, own, "right").tolist(), strict=True)
+        all_cuts = zip(own.tolist(), cut(self.shard), cut(self.shard[self.head[self.kept]]), cut(self.spread_shard), strict=True)
+        return [(p, slice(*w), slice(*k), slice(*s)) for p, w, k, s in all_cuts]
 
     def ask(self, block: int) -> pa.RecordBatch:
         rows = []
@@ -110,7 +129,7 @@ class Block:
         kinds = [pa.int32()] * 3 + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    def walk(self, replies: dict[tuple[int, int], tuple[bytes, bytes, bytes]], total: int, kinds: int, hot_fan: dict[int, int]):
+    def walk(self, replies: dict[tuple[int, int], tuple[bytes, bytes, bytes]], total: int, kinds: int, hot_fan: tuple[np.ndarray, np.ndarray]):
         """(tokens, known tokens, base score, score) of every text."""
         count, fan, arc = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64), np.zeros(len(self.head), np.int64)
         for p, w, k, s in self.cuts():
@@ -119,9 +138,8 @@ class Block:
                 count[w], fan[w], arc[self.kept[k]] = (np.frombuffer(x, "<i8") for x in (c, f, a))
             if s.stop > s.start:
                 arc[self.spread[s]] = np.frombuffer(replies[p, 1][2], "<i8")
-        for key, n in hot_fan.items():
-            if (i := np.flatnonzero(self.keys == U64(key))).size:
-                fan[i] = n
+        many = looked_up(self.keys, *hot_fan, missing=-1)
+        fan = np.where(many >= 0, many, fan)
         one = (count + 1.0) / (total + kinds + 1.0)
         free = np.log10(one)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -147,15 +165,11 @@ class Block:
 
 
 def answer(batches):
-    """A shard: adds up the counts of all blocks and answers each; a last row of block -1 has tokens, distinct words and
-    the successors of hot words counted here."""
-    rows: dict[int, list] = {}
-    for b in batches:
-        for r in b.to_pylist():
-            rows.setdefault(r["shard"], []).append(r)
+    """A shard after another: adds up the counts of all blocks and answers each; a last row of block -1 has tokens,
+    distinct words and the successors of hot words counted here."""
     arr = lambda r, c, t: np.frombuffer(r[c], t)
-    for shard, got in rows.items():
-        out = []
+    for shard, held in grouped(batches, "shard"):
+        got, out = [r for b in held for r in b.to_pylist()], []
         plain, spread = [r for r in got if r["kind"] == 0], [r for r in got if r["kind"] == 1]
         stats = (0, 0)
         if plain:
@@ -193,11 +207,21 @@ def answer(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64], strict=True), [pa.int32()] * 3 + [pa.binary()] * 3, strict=True)], names)
 
 
-def hot_words(d: DataFrame, shards: int) -> dict[int, int]:
+def totals(batches):
+    """(k, n) rows of the shards' last rows: hot words' successors; under null, tokens and distinct words as ``n, v``."""
+    for b in batches:
+        for r in b.to_pylist():
+            n, v = np.frombuffer(r["counts"], "<i8").tolist()
+            k, f = np.frombuffer(r["fan"], "<i8"), np.frombuffer(r["pairs"], "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([None, *k.tolist()], pa.int64()), pa.array([n, *f.tolist()]), pa.array([v, *[0] * len(k)])], ["k", "n", "v"])
+
+
+def hot_words(d: DataFrame, size: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes that hold over a quarter of a shard's share of tokens in a sample, and over how many shards to spread
-    their successors. Placement only: any answer here gives the same scores. At most 4 * shards words."""
+    their successors. Placement only: any answer here gives the same scores. At most ``HOT`` words, the most frequent;
+    any other has under one token in ``HOT``."""
     if shards < 2:
-        return {}
+        return np.zeros(0, U64), np.zeros(0, np.int64)
 
     def count(batches):
         for b in batches:
@@ -205,10 +229,12 @@ def hot_words(d: DataFrame, shards: int) -> dict[int, int]:
                 k, n = np.unique(word_hashes(data, off)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "n"])
 
-    rows = d.select("text").limit(SAMPLE_ROWS).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "k").limit(4 * shards).collect()
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    return {r["k"] & 0xFFFFFFFFFFFFFFFF: max(2, -(-4 * r["n"] * shards // total)) for r in top if 4 * r["n"] * shards > total}
+    sample = d.select("text") if size <= SAMPLE else d.select("text").sample(SAMPLE / size, seed=2)
+    with Scratch(d.sparkSession, "lm-words") as s:
+        rows = s.table(sample.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        top = rows.filter(F.col("n") * (4 * shards) > total).orderBy(F.desc("n"), "k").limit(HOT).collect()
+    return sorted_table([(r["k"], max(2, -(-4 * r["n"] * shards // total))) for r in top])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -218,7 +244,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), out.alias("held_out"))
     size = d.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    hot = hot_words(d, blocks)
+    tasks = min(blocks, TASKS)
+    hot = hot_words(d, size, blocks)
     d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def ask(batches):
@@ -230,16 +257,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             yield b.ask(key)
 
     with Scratch(spark, "lm") as s:
-        asked = lambda: d.select("block", "held_out", "text").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(ask, ASK)
-        replies = s.table(asked().repartition(blocks, "shard").mapInArrow(answer, REPLY), keep=True, tidy=True)
+        asked = lambda: d.select("block", "held_out", "text").repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(ask, ASK)
+        replies = s.table(asked().repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(answer, REPLY), keep=True, tidy=True)
         s.tidy()  # the questions are answered: their shuffle files can go before texts move again
-    total = kinds = 0
-    hot_fan: dict[int, int] = {}
-    for r in replies.filter("block = -1").collect():  # a row for each shard
-        a, b = np.frombuffer(r["counts"], "<i8")
-        total, kinds = total + int(a), kinds + int(b)
-        for k, n in zip(np.frombuffer(r["fan"], "<u8").tolist(), np.frombuffer(r["pairs"], "<i8").tolist(), strict=True):
-            hot_fan[k] = hot_fan.get(k, 0) + n
+    last = replies.filter("block = -1").select("counts", "fan", "pairs").mapInArrow(totals, "k long, n long, v long")
+    sums = last.groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # a row for each hot word
+    total, kinds = next(((r["n"], r["v"]) for r in sums if r["k"] is None), (0, 0))
+    hot_fan = sorted_table([(r["k"], r["n"]) for r in sums if r["k"] is not None])
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def walk(batches):
@@ -264,4 +288,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     both = texts.unionByName(replies.filter("block >= 0"), allowMissingColumns=True)
     kind = dict(d.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.repartition(blocks, "block").sortWithinPartitions("block", "kind", "shard").mapInArrow(walk, schema)
+    return both.repartition(tasks, "block").sortWithinPartitions("block", "kind", "shard").mapInArrow(walk, schema)
