@@ -492,6 +492,58 @@ def test_fingerprints(docs):
         assert all(len(v) == 1 for v in same.values())
 
 
+def plain_sketch(text):
+    """The parse and the sketch, a symbol at a time."""
+    from twinsight.llm.arrays import BASE, hash_family
+
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    def toss(v):
+        out = []
+        for i, x in enumerate(v):
+            d = (v[i - 1] if i else x ^ 1) ^ x
+            bit = (d & -d).bit_length() - 1
+            out.append(2 * bit + (x >> bit & 1))
+        return out
+
+    v = symbols = list(text.encode())
+    found = []
+    for level in range(3):
+        runs = [i for i in range(len(v)) if i == 0 or v[i] != v[i - 1]]
+        label = [v[i] for i in runs]
+        for _ in range(4 if level else 3):
+            label = toss(label)
+        starts = [runs[i] for i in range(len(runs)) if i == 0 or (i < len(runs) - 1 and label[i - 1] < label[i] > label[i + 1])]
+        spans = zip(starts, [*starts[1:], len(v)])
+        v = [mix((sum((x + 1) * pow(BASE, i, 1 << 64) for i, x in enumerate(symbols[s:e])) + e - s) & top) ^ level for s, e in spans]
+        symbols = [mix(x) for x in v]
+        found.append(v)
+    if not text:
+        return [0xFFFF] * 64
+    names = {x >> 32 for x in found[1] + found[2]}
+    least = [min((x * int(a) + int(b)) & 0xFFFFFFFF for x in names) for a, b in zip(*hash_family(64, 0))]
+    return [min((x ^ x >> 16) & 0xFFFF, 0xFFFE) for x in least]
+
+
+def test_fingerprints_match_a_plain_parse(docs):
+    rows = sorted(table(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])))
+    rows = [(k, t if t is None or len(t) < 3000 else t[:3000]) for k, t in rows]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs.sparkSession.createDataFrame(rows, "doc_id long, text string"), parts=3).collect()}
+    for i, (k, t) in enumerate(rows):
+        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        a, b, c = plain_sketch(t), plain_sketch(t[: len(t) - q] + nxt[:q]), plain_sketch(nxt)
+        raw = lambda x: "" if x[0] == 0xFFFF else "".join(f"{y:04x}" for y in x)
+        like = lambda x, y: sum(p == q for p, q in zip(x, y)) / 64
+        assert (got[k]["fingerprint"], got[k]["edited_fingerprint"]) == (raw(a), raw(b))
+        assert (got[k]["near_edited"], got[k]["near_next"]) == (like(a, b), like(a, c))
+
+
 def test_names_do_not_depend_on_offset():
     import numpy as np
 

@@ -6,9 +6,9 @@ hash of a phrase's content is its name, and names are the symbols of the next le
 a handful of neighbouring symbols only, so equal substrings share all names but those at their ends, at any offset.
 Runs of one symbol count as one for the tossing and stay whole inside a phrase.
 
-The names of level ``LEVEL`` (about 15 bytes each) of a text form a set; a text with few of them adds those of the
-levels below. The fingerprint is a MinHash sketch of the set in hexadecimal; the likeness of two fingerprints is the
-share of equal slots, which estimates the Jaccard index of the sets.
+The names of the last two of ``LEVEL`` levels (phrases of about 5 and 15 bytes) of a text form a set, whatever its
+length: the shortest text has a name on each. The fingerprint is a MinHash sketch of the set in hexadecimal; the
+likeness of two fingerprints is the share of equal slots, which estimates the Jaccard index of the sets.
 
 Defined results: null text is empty; an empty text has an empty fingerprint, like another empty one (1.0) and unlike
 all else (0.0); documents are ordered by (id, text hash), null ids first, so equal rows follow each other; the last
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .arrays import U64, column_bytes, minhash, mix, pieces, prefix_hash, span_hash
 
 LEVEL = 3
-FEW = 8
 SLOTS = 64
 _BIT = np.zeros(1 << 16, np.uint8)
 for _i in range(15, -1, -1):
@@ -94,19 +93,7 @@ def names(data: np.ndarray, off: np.ndarray, levels: int = LEVEL) -> list[tuple[
 
 def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """(rows, SLOTS) of 16 bits; rows of empty texts are all ones, which no other row is."""
-    found = names(data, off)
-    v, o = found[-1]
-    sig = minhash(v, o, SLOTS)
-    few = np.diff(o) < FEW
-    for v, o in reversed(found[:-1]):
-        if not few.any():
-            break
-        rows = np.flatnonzero(few)
-        size = np.diff(o)[rows]
-        cut = np.concatenate(([0], np.cumsum(size)))
-        at = np.arange(cut[-1]) + np.repeat(o[rows] - cut[:-1], size)
-        sig[rows] = np.minimum(sig[rows], minhash(v[at], cut, SLOTS))
-        few &= np.diff(o) < FEW
+    sig = np.minimum(*(minhash(v, o, SLOTS) for v, o in names(data, off)[-2:]))
     short = (sig ^ (sig >> np.uint32(16))).astype(np.uint16)
     short[short == 0xFFFF] = 0xFFFE
     short[np.diff(off) == 0] = 0xFFFF
