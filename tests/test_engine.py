@@ -203,6 +203,78 @@ def test_live_fold(spark, items, tmp_path):
     assert live.versions()[-1] == 5 and live.read()[0].count() == 8
 
 
+def test_live_lookup_and_freshness(spark, items, tmp_path):
+    from twinsight.config import Live
+    from twinsight.streaming.live import listing_stream
+
+    details = spark.createDataFrame([(201, ["x.go"], [1], False), (202, ["y.go"], [], True)], "number long, files array<string>, closes array<long>, merged boolean")
+    live = LiveStore(spark, str(tmp_path / "store"), live=Live(pages=1, page_size=3, enriched=1), lookup=lambda wanted: details.join(wanted, "number", "left_semi"))
+    live.start(items)
+    assert live.freshness().first()["pending"]
+    node = {"title": "t", "state": "open", "updated_at": "2024-06-01T00:00:00Z", "pull_request": {"merged_at": None}}
+    (tmp_path / "p").mkdir()
+    old = node | {"number": 203, "updated_at": "2024-01-01T00:00:00Z"}
+    (tmp_path / "p" / "1.json").write_text("\n".join(json.dumps(x) for x in (node | {"number": 201}, node | {"number": 202}, node | {"number": 204, "pull_request": None}, old)))
+    q = live.follow(listing_stream(spark, str(tmp_path / "p"), 1, "2024-05-01T00:00:00Z"), str(tmp_path / "cp"), availableNow=True)
+    q.awaitTermination()
+    got = {r["number"]: r for r in live.read()[0].filter("number > 200").collect()}
+    assert set(got) == {201, 202, 204} and got[202]["files"] == ["y.go"] and got[202]["merged"] and got[201]["files"] is None
+    f = live.freshness(q).first()
+    assert (f["pending"], f["truncated"], f["error"], f["added"]) == (False, True, None, 3)
+
+    def broken(wanted):
+        raise OSError("no answer")
+
+    live.lookup = broken
+    live.fold(spark.createDataFrame([item(205, "new", kind="PR")], S.ITEM), 9)
+    f = live.freshness().first()
+    assert f["error"] == "OSError: no answer" and not f["truncated"] and live.read()[0].filter("number = 205").count() == 1
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_nearest_vectors_match_brute_force(spark, monkeypatch, tile):
+    import random
+
+    from twinsight.operators import nearest
+
+    monkeypatch.setattr(nearest, "TILE", tile)
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(60)] + [(70, None), (71, [1.0]), (72, [1.0, None, 0.0, 0.0]), (None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "number long, vector array<double>").repartition(3)
+    asked = [(i, i if i % 2 else None, rows[i][1]) for i in range(0, 60, 2)] + [(1, 1, rows[1][1]), (90, None, None)]
+    q = spark.createDataFrame(asked, "qid long, exclude long, vector array<double>")
+    got = {(r["qid"], r["number"], r["rnk"], r["raw"]) for r in retrieval.vector(v, q, 5).collect()}
+    want = set()
+    for qid, own, x in asked[:-1]:
+        hits = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), n) for n, y in rows[:60] if n != own)[:5]
+        want |= {(qid, n, i + 1, -s) for i, (s, n) in enumerate(hits)}
+    assert got == want
+    assert retrieval.vector(v, q.limit(0), 5).count() == 0 and retrieval.vector(v.limit(0), q, 5).count() == 0
+
+
+def test_embedding_by_an_injected_encoder(spark, items):
+    from twinsight.operators import embedding
+
+    got = {r["number"]: r["vector"] for r in embedding.embed(items, embedding.letter_encoder, 2).collect()}
+    assert len(got) == 7 and all(sum(x * x for x in v) == pytest.approx(1) for v in got.values())
+    with pytest.raises(Exception, match="vectors of"):
+        embedding.embed(items, lambda texts: [[1.0]] * (len(texts) + 1)).count()
+
+
+def test_crawl_follows_cursors(spark):
+    from twinsight.sources import crawl
+
+    def fetch(kind, cursor):
+        pages = {("ISSUE", None): ([1, 2], "a"), ("ISSUE", "a"): ([3], None), ("PR", None): ([4], None)}
+        numbers, after = pages[kind, cursor]
+        return {"nodes": [{"number": n, "title": f"t{n}", "state": "OPEN", "files": {"nodes": [{"path": "a.go"}]}} for n in numbers], "cursor": after}
+
+    got = {r["number"]: (r["kind"], r["title"], r["files"]) for r in crawl.crawl(spark, fetch).collect()}
+    assert got == {1: ("ISSUE", "t1", None), 2: ("ISSUE", "t2", None), 3: ("ISSUE", "t3", None), 4: ("PR", "t4", ["a.go"])}
+    with pytest.raises(Exception, match="came twice"):
+        crawl.crawl_nodes(spark, lambda kind, cursor: {"nodes": [], "cursor": "a"}, "PR").count()
+
+
 def test_stream_decisions(spark, tmp_path):
     claims(spark, [("a", i, 0.0) for i in range(3)] + [("a", 3601, 0.0), ("b", 5, 0.0)]).write.parquet(str(tmp_path / "c"))
     stream = spark.readStream.schema("event_id long, caller string, ts timestamp, cost double").parquet(str(tmp_path / "c"))

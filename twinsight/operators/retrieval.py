@@ -7,13 +7,14 @@ descending, then number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Bm25, Retrieval
 from ..functions.paths import signal_files
 from ..functions.text import tokenize
 from .index import Index, postings
+from .nearest import nearest
 
 SMALL_ROWS = 200_000
 DIGITS = 9
@@ -70,21 +71,11 @@ def file_overlap(items: DataFrame, queries: DataFrame, k: int = Retrieval.per_li
     return ranked(g.select("qid", "number", raw.alias("raw"), F.col("s.file").alias("shared")), "files", k, "shared")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def vector(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.per_list) -> DataFrame:
-    """Ranked hits by cosine of unit vectors: a stated query set against every vector.
-
-    The counted query side is broadcast, so vectors stay in their splits, and each split's scores are cut to the first k
-    of every query (a window group limit) before they move.
-    """
+    """Ranked hits by cosine of unit vectors: a stated query set against every vector, by tiles."""
     exclude = F.col("exclude") if "exclude" in queries.columns else F.lit(None).cast("long")
-    q = queries.filter("vector is not null").select("qid", exclude.alias("exclude"), "vector")
-    pairs = vectors.filter("vector is not null").crossJoin(small(q, 20_000).withColumnRenamed("vector", "qv"))
-    scored = pairs.filter(~F.col("number").eqNullSafe(F.col("exclude"))).select("qid", "number", F.round(dot(F.col("qv"), F.col("vector")), DIGITS).alias("raw"))
-    return ranked(scored, "embed", k)
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranked(nearest(vectors, queries.select("qid", exclude.alias("exclude"), "vector"), k, partitions), "embed", k)
 
 
 ORDER = ("bm25", "embed", "files")

@@ -7,6 +7,7 @@ a slow or failed batch leaves them with the prior snapshot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,22 +16,32 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..config import Bm25, Live
 from ..operators.index import Index, change_counts, entries, fold_entries, latest, upsert
-from ..sources.items import LISTING_NODE, from_listing
+from ..sources.items import LISTING_NODE, enrich, from_listing
 
 
-def listing_stream(spark: SparkSession, path: str, files_per_batch: int = Live.pages) -> DataFrame:
-    """Items from landed pages of the change listing (JSON lines), a bounded number of pages a batch."""
+def listing_stream(spark: SparkSession, path: str, files_per_batch: int = Live.pages, since: str | None = None) -> DataFrame:
+    """Items from landed pages of the change listing (JSON lines), a bounded number of pages a batch; with ``since`` only
+    those changed at that time or later (an unknown time counts as changed)."""
     raw = spark.readStream.schema(LISTING_NODE).option("maxFilesPerTrigger", files_per_batch).json(path)
+    if since is not None:
+        raw = raw.filter(F.col("updated_at").isNull() | (F.col("updated_at") >= F.lit(since).cast("timestamp")))
     return from_listing(raw)
 
 
 @dataclass
 class LiveStore:
-    """Versioned items and entries under ``path``."""
+    """Versioned items and entries under ``path``.
+
+    ``lookup`` gives files, references and merge state (number, files, closes, merged) of listed pull requests that lack
+    them, newest numbers first, ``live.enriched`` a batch. They are a bonus: if it fails, the batch is folded without
+    them and the freshness row tells the error.
+    """
 
     spark: SparkSession
     path: str
     config: Bm25 = Bm25()
+    live: Live = Live()
+    lookup: Callable[[DataFrame], DataFrame] | None = None
 
     def _fs(self):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -44,13 +55,14 @@ class LiveStore:
 
     def start(self, items: DataFrame) -> None:
         """The base snapshot, version -1."""
-        self._commit(-1, items, entries(items, self.config), added=0, updated=0, changed=0)
+        self._commit(-1, items, entries(items, self.config), pending=True, added=0, updated=0, changed=0)
 
-    def _commit(self, version: int, items: DataFrame, ents: DataFrame, **counts: int) -> None:
+    def _commit(self, version: int, items: DataFrame, ents: DataFrame, error: str | None = None, truncated: bool = False, pending: bool = False, **counts: int) -> None:
         at = f"{self.path}/v={version}"
         items.write.mode("overwrite").parquet(f"{at}/items")
         ents.write.mode("overwrite").parquet(f"{at}/entries")
-        row = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("checkedAt"), *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+        state = [F.lit(True).alias("enabled"), F.lit(error).cast("string").alias("error"), F.lit(truncated).alias("truncated"), F.lit(pending).alias("pending")]
+        row = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("checkedAt"), *state, *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
         row.write.mode("overwrite").parquet(f"{at}/freshness")
 
     def read(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -60,21 +72,39 @@ class LiveStore:
     def index(self) -> Index:
         return Index.of(self.read()[1])
 
-    def freshness(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1]}/freshness")
+    def freshness(self, tail: StreamingQuery | None = None) -> DataFrame:
+        """One row (version, checkedAt, enabled, error, truncated, pending, added, updated, changed) of the newest
+        version. ``pending``: nothing was folded yet; ``truncated``: the batch was as large as a listing may be, so
+        there may be more. With the ``tail``'s query, its failure is the error: readers go on with what is committed."""
+        row = self.spark.read.parquet(f"{self.path}/v={self.versions()[-1]}/freshness")
+        failed = tail.exception() if tail is not None else None
+        return row if failed is None else row.withColumn("error", F.lit(str(failed)))
+
+    def enriched(self, delta: DataFrame) -> tuple[DataFrame, str | None]:
+        """The delta with looked-up details, and what went wrong."""
+        if self.lookup is None:
+            return delta, None
+        wanted = delta.filter("kind = 'PR' and files is null").select("number").orderBy(F.desc("number")).limit(self.live.enriched)
+        try:
+            rows = self.lookup(wanted).select("number", "files", "closes", "merged").limit(self.live.enriched).collect()
+        except Exception as e:  # any failure of an injected lookup
+            return delta, f"{type(e).__name__}: {e}"[:200]
+        return enrich(delta, self.spark.createDataFrame(rows, "number long, files array<string>, closes array<long>, merged boolean").dropDuplicates(["number"])), None
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """Commits a batch on top of the newest version below its id."""
         below = [v for v in self.versions() if v < batch_id]
         items, ents = self.read(below[-1])
-        delta = latest(batch).persist()
+        listed = latest(batch).persist()
         try:
+            truncated = batch.count() >= self.live.pages * self.live.page_size
+            delta, error = self.enriched(listed)
             c = change_counts(items, delta).first()
             merged = upsert(items, delta)
             fresh = entries(merged.join(delta.select("number"), "number", "left_semi"), self.config)
-            self._commit(batch_id, merged, fold_entries(ents, fresh), added=c["added"], updated=c["updated"], changed=c["added"] + c["updated"])
+            self._commit(batch_id, merged, fold_entries(ents, fresh), error, truncated, added=c["added"], updated=c["updated"], changed=c["added"] + c["updated"])
         finally:
-            delta.unpersist()
+            listed.unpersist()
 
     def follow(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Starts folding; the default trigger looks once every ``Live.ttl_seconds``."""
