@@ -203,6 +203,25 @@ def test_live_fold(spark, items, tmp_path):
     assert live.versions()[-1] == 5 and live.read()[0].count() == 8
 
 
+def test_live_versions_hold_changes_and_are_compacted(spark, items, tmp_path):
+    from twinsight.config import Live
+
+    live = LiveStore(spark, str(tmp_path / "store"), live=Live(compact_after=2))
+    live.start(items)
+    for v in range(7):
+        live.fold(spark.createDataFrame([item(3, f"again {v}", kind="PR"), item(300 + v, "new one")], S.ITEM), v)
+        got, ents = live.read()
+        rows = {r["number"]: r for r in got.collect()}
+        assert len(rows) == got.count() == 8 + v and rows[3]["title"] == f"again {v}" and rows[3]["files"] == ["a.go", "b.go", "go.mod"]
+        assert index.frequency_difference(index.document_frequency(ents), index.document_frequency(index.entries(got))).count() == 0
+        f = live.freshness().first()
+        assert (f["added"], f["updated"]) == (1, 1)
+    assert live.whole() == [-1, 2, 5]
+    assert spark.read.parquet(str(tmp_path / "store" / "v=6" / "changed_items")).count() == 2
+    assert {r["title"] for r in live.read(1)[0].filter("number = 3").collect()} == {"again 1"}
+    assert live.vacuum() == [-1, 0, 1] and live.read()[0].count() == 14
+
+
 def test_live_lookup_and_freshness(spark, items, tmp_path):
     from twinsight.config import Live
     from twinsight.streaming.live import listing_stream

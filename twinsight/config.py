@@ -47,6 +47,7 @@ class Live:
     page_size: int = 100
     pages: int = 3
     enriched: int = 40
+    compact_after: int = 50
     judge_timeout_seconds: int = 45
 
 

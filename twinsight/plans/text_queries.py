@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import index as I
-from ..operators import rules, tallies
+from ..operators import embedding, rules, tallies
 from . import frames
 from . import oracle as O
 from .registry import query, table
@@ -54,6 +54,17 @@ def embed_text(spark, sf_dir):
     return frames.text_items(spark, sf_dir).select("number", F.md5(T.embed_text(F.col("title"), F.col("body"))).alias("embed_text"))
 
 
+_VOWELS = ", ".join(f"(length(t) - length(replace(t, '{v}', '')))::DOUBLE AS {v}" for v in "aeiou")
+_UNIT = ", ".join(f"round({v} / sqrt(1.0::DOUBLE + a * a + e * e + i * i + o * o + u * u), 9) AS {v}" for v in "aeiou")
+
+
+@query(f"WITH {O.ITEMS.split('), order_files')[0]}), t AS (SELECT number, {_EMBED} AS t FROM raw_items), c AS (SELECT number, {_VOWELS} FROM t) SELECT number, {_UNIT} FROM c")
+def embed_items(spark, sf_dir):
+    """Vectors of all items from an injected encoder (here one that counts vowels)."""
+    v = embedding.embed(frames.text_items(spark, sf_dir), embedding.letter_encoder)
+    return v.select("number", *[F.round(F.col("vector")[i + 1], 9).alias(c) for i, c in enumerate("aeiou")])
+
+
 _INDEX = f"WITH {O.ITEMS.split('), order_files')[0]}), {O.index()}"
 
 

@@ -1,8 +1,10 @@
 """The live tail: recently changed items as a stream, folded exactly into the index.
 
-Each micro-batch upserts items and replaces superseded entries, then commits a new version of both tables; the version is
-the batch id, so a batch that runs again after a failure writes the same thing. Readers use the last committed version, so
-a slow or failed batch leaves them with the prior snapshot.
+Each micro-batch commits a version that holds the items and entries it changed, and no others; after
+``Live.compact_after`` such versions the next one holds both tables whole. The version is the batch id, so a batch that
+runs again after a failure writes the same thing. Readers take the last committed version: the newest whole tables below
+it, with rows of later versions in place of theirs. A slow or failed batch leaves them with the prior snapshot;
+``vacuum`` removes versions that only snapshots before the last two whole ones need.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -47,27 +49,60 @@ class LiveStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
-        """Committed versions; a version is committed once its freshness row is written."""
+    def _found(self, part: str) -> list[int]:
         fs, path = self._fs()
-        found = fs.globStatus(path(f"{self.path}/v=*/freshness/_SUCCESS")) or []
+        found = fs.globStatus(path(f"{self.path}/v=*/{part}/_SUCCESS")) or []
         return sorted(int(str(f.getPath()).split("/v=")[1].split("/")[0]) for f in found)
 
+    def versions(self) -> list[int]:
+        """Committed versions; a version is committed once its freshness row is written."""
+        return self._found("freshness")
+
+    def whole(self) -> list[int]:
+        """Committed versions that hold whole tables."""
+        return sorted(set(self.versions()) & set(self._found("items")))
+
     def start(self, items: DataFrame) -> None:
         """The base snapshot, version -1."""
-        self._commit(-1, items, entries(items, self.config), pending=True, added=0, updated=0, changed=0)
+        self._commit(-1, "", items, entries(items, self.config), pending=True, added=0, updated=0, changed=0)
 
-    def _commit(self, version: int, items: DataFrame, ents: DataFrame, error: str | None = None, truncated: bool = False, pending: bool = False, **counts: int) -> None:
+    def _commit(self, version: int, kind: str, items: DataFrame, ents: DataFrame, error: str | None = None, truncated: bool = False, pending: bool = False, **counts: int) -> None:
         at = f"{self.path}/v={version}"
-        items.write.mode("overwrite").parquet(f"{at}/items")
-        ents.write.mode("overwrite").parquet(f"{at}/entries")
+        items.write.mode("overwrite").parquet(f"{at}/{kind}items")
+        ents.write.mode("overwrite").parquet(f"{at}/{kind}entries")
         state = [F.lit(True).alias("enabled"), F.lit(error).cast("string").alias("error"), F.lit(truncated).alias("truncated"), F.lit(pending).alias("pending")]
         row = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("checkedAt"), *state, *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
         row.write.mode("overwrite").parquet(f"{at}/freshness")
 
+    def _changed(self, versions: list[int], part: str) -> DataFrame:
+        """The newest row of each number in versions of changed rows."""
+        rows = None
+        for v in versions:
+            one = self.spark.read.parquet(f"{self.path}/v={v}/changed_{part}").withColumn("v", F.lit(v))
+            rows = one if rows is None else rows.unionByName(one)
+        newest = Window.partitionBy("number").orderBy(F.desc("v"))
+        return rows.withColumn("r", F.row_number().over(newest)).filter("r = 1").drop("r", "v")
+
     def read(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
-        v = self.versions()[-1] if version is None else version
-        return self.spark.read.parquet(f"{self.path}/v={v}/items"), self.spark.read.parquet(f"{self.path}/v={v}/entries")
+        """(items, entries) of a version, the last by default."""
+        known = self.versions()
+        v = known[-1] if version is None else version
+        base = [w for w in self.whole() if w <= v][-1]
+        after = [w for w in known if base < w <= v]
+        out = []
+        for part in ("items", "entries"):
+            rows = self.spark.read.parquet(f"{self.path}/v={base}/{part}")
+            out.append(fold_entries(rows, self._changed(after, part)) if after else rows)
+        return out[0], out[1]
+
+    def vacuum(self) -> list[int]:
+        """Removes the versions below the last but one that is whole, and says which."""
+        fs, path = self._fs()
+        whole = self.whole()
+        old = [v for v in self.versions() if len(whole) > 1 and v < whole[-2]]
+        for v in old:
+            fs.delete(path(f"{self.path}/v={v}"), True)
+        return old
 
     def index(self) -> Index:
         return Index.of(self.read()[1])
@@ -92,17 +127,27 @@ class LiveStore:
         return enrich(delta, self.spark.createDataFrame(rows, "number long, files array<string>, closes array<long>, merged boolean").dropDuplicates(["number"])), None
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        """Commits a batch on top of the newest version below its id."""
+        """Commits a batch on top of the newest version below its id: what it changes, or after ``compact_after`` such
+        versions everything."""
         below = [v for v in self.versions() if v < batch_id]
+        since_whole = [v for v in below if v > [w for w in self.whole() if w < batch_id][-1]]
         items, ents = self.read(below[-1])
         listed = latest(batch).persist()
         try:
             truncated = batch.count() >= self.live.pages * self.live.page_size
             delta, error = self.enriched(listed)
-            c = change_counts(items, delta).first()
-            merged = upsert(items, delta)
-            fresh = entries(merged.join(delta.select("number"), "number", "left_semi"), self.config)
-            self._commit(batch_id, merged, fold_entries(ents, fresh), error, truncated, added=c["added"], updated=c["updated"], changed=c["added"] + c["updated"])
+            before = items.join(delta.select("number"), "number", "left_semi").persist()
+            c = change_counts(before, delta).first()
+            changed = upsert(before, delta).persist()
+            fresh = entries(changed, self.config)
+            state = (error, truncated)
+            counts = {"added": c["added"], "updated": c["updated"], "changed": c["added"] + c["updated"]}
+            if len(since_whole) < self.live.compact_after:
+                self._commit(batch_id, "changed_", changed, fresh, *state, **counts)
+            else:
+                self._commit(batch_id, "", fold_entries(items, changed), fold_entries(ents, fresh), *state, **counts)
+            before.unpersist()
+            changed.unpersist()
         finally:
             listed.unpersist()
 
