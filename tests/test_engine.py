@@ -182,6 +182,13 @@ def test_sources_round_trip(spark, items, tmp_path):
     assert S.read_labelled(spark, str(tmp_path / "cases.json"), "cases", "q: long, t: long, want: boolean").first()["t"] == 2
 
 
+def test_own_key_is_neither_counted_nor_charged(spark):
+    c = claims(spark, [("a", i, 1.0) for i in range(6)])
+    flag = F.when(F.col("event_id") == 5, None).otherwise(F.col("event_id") % 2 == 0)
+    got = {r["event_id"]: (r["hour_n"], r["spend_before"], r["ok"]) for r in limits.decisions(c.withColumn("own_key", flag), Caps(per_caller_hour=2)).collect()}
+    assert got == {0: (None, None, True), 2: (None, None, True), 4: (None, None, True), 1: (1, 0.0, True), 3: (2, 1.0, True), 5: (3, 2.0, False)}
+
+
 def test_live_fold(spark, items, tmp_path):
     live = LiveStore(spark, str(tmp_path / "store"))
     live.start(items)

@@ -49,6 +49,22 @@ def claim_verdict(spark, sf_dir):
     return limits.verdicts(limits.fixed_windows(frames.claims(spark, sf_dir)), CAPS).select("event_id", "spend_before", "ok", "code")
 
 
+@query(
+    """WITH c AS (
+  SELECT event_id, ts, value AS cost, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS hour_n, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS day_n,
+    row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS global_n FROM events WHERE user_id % 10 <> 0
+), k AS (SELECT *, CASE WHEN hour_n > 1 OR day_n > 4 OR global_n > 340 THEN 0 ELSE cost END AS charged FROM c),
+s AS (SELECT *, round(coalesce(sum(charged) OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS spend_before FROM k)
+SELECT event_id, false AS own_key, spend_before, NOT (spend_before >= 5000 OR hour_n > 1 OR day_n > 4 OR global_n > 340) AS ok,
+  CASE WHEN spend_before >= 5000 THEN 'BUDGET' WHEN hour_n > 1 OR day_n > 4 THEN 'RATE' WHEN global_n > 340 THEN 'BUDGET' END AS code FROM s
+UNION ALL SELECT event_id, true, NULL, true, NULL FROM events WHERE user_id % 10 = 0"""
+)
+def claim_verdict_own_key(spark, sf_dir):
+    """All claims; callers of every tenth number bring their own key."""
+    claims = frames.claims(spark, sf_dir)
+    return limits.decisions(claims.withColumn("own_key", F.col("caller").cast("long") % 10 == 0), CAPS).select("event_id", "own_key", "spend_before", "ok", "code")
+
+
 @query("SELECT strftime(ts, '%Y%m') AS month, count(*) AS calls, round(sum(value), 6) AS usd FROM events GROUP BY 1")
 def monthly_spend(spark, sf_dir):
     return limits.monthly_spend(frames.claims(spark, sf_dir))
