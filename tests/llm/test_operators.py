@@ -365,6 +365,45 @@ def test_search_skips_blocks_and_keeps_ties(spark):
     assert s.skipped > 0 and s.visited > 0
 
 
+def test_search_disk_does_not_hold_every_copy_of_every_query(spark, monkeypatch):
+    """A quarter of the texts as queries of 16 shards, each of which gets them all, and still no more than 4 times the texts
+    on disk. Results are those of a single wave."""
+    import os
+    import random
+    import threading
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(32):08x}" for _ in range(500)) + f" common{i % 7} common{i % 11}") for i in range(400)]
+    size = sum(len(t) + 1 for _, t in rows)
+    monkeypatch.setattr(search, "SHARD", -(-size // 16))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tops = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {os.path.join(x, f) for top in tops for x, _, names in os.walk(top) for f in names if "shuffle" in f}
+    old, peak, over = files(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            total = 0
+            for name in files() - old:
+                try:
+                    total += os.path.getsize(name)
+                except OSError:
+                    pass
+            peak[0] = max(peak[0], total)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = sorted(search.top_k(d, d.filter("doc_id % 4 = 0"), k=3).collect())
+    finally:
+        over.set()
+        watcher.join()
+    assert 0 < peak[0] < 4 * size, peak[0] / size
+    assert len(got) == 300 and all(r["query_id"] == r["doc_id"] for r in got if r["rank"] == 1)
+    monkeypatch.setattr(search, "wave_count", lambda load, shards: 1)
+    assert got == sorted(search.top_k(d, d.filter("doc_id % 4 = 0"), k=3).collect())
+
+
 # --- 7 ---
 
 
