@@ -365,6 +365,91 @@ def test_search_skips_blocks_and_keeps_ties(spark):
     assert s.skipped > 0 and s.visited > 0
 
 
+def shard_and_queries(texts, step):
+    import numpy as np
+    import pyarrow as pa
+
+    t = search.Terms()
+    t.add(pa.array(texts))
+    t.index()
+    queries = [np.unique(search.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0]) for x in texts[::step]]
+    return t, search.Shard(t, np.arange(len(texts)), t.df, len(texts), float(t.length.mean())), queries
+
+
+def test_search_index_is_made_without_many_copies_of_its_pairs(monkeypatch):
+    """The most memory while a shard is indexed is less than 64 bytes a (document, term) pair."""
+    import random
+    import tracemalloc
+
+    monkeypatch.setattr(search, "STEP", 1 << 12, raising=False)
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(50_000)]
+    texts = [" ".join(vocab[int(len(vocab) ** rng.random()) - 1] for _ in range(400)) for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        t, s, _ = shard_and_queries(texts, len(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 * len(s.term), peak / len(s.term)
+
+
+def test_search_memory_does_not_grow_with_the_number_of_documents(monkeypatch):
+    """Of a batch's queries on a shard of very many short texts a bounded number of sums is in memory at a time; what is found
+    equals all documents' scores in order."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(vocab[int(len(vocab) ** rng.random()) - 1] for _ in range(4)) for _ in range(40_000)]
+    t, s, queries = shard_and_queries(texts, 320)
+    monkeypatch.setattr(search, "SUMS", 1 << 17, raising=False)
+    tracemalloc.start()
+    try:
+        found = s.search(queries, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(queries) == 125 and peak < 125 * len(texts) * 8 / 4, peak
+    idf = np.maximum(0.01, np.log(1 + (len(texts) - t.df + 0.5) / (t.df + 0.5)))
+    impact = idf[t.term] * (t.tf * 2.2) / (t.tf + 1.2 * (0.25 + 0.75 * t.length[t.doc] / t.length.mean()))
+    for q, (ids, scores) in list(zip(queries, found, strict=True))[::5]:
+        want = np.round(np.bincount(t.doc, weights=np.where(np.isin(t.keys[t.term], q), impact, 0.0)), 9)
+        best = np.lexsort((np.arange(len(texts)), -want))[:5]
+        assert ids.tolist() == best.tolist() and np.allclose(scores, want[best], atol=2e-9)
+
+
+def test_search_by_small_batches(docs, spark, monkeypatch):
+    """Texts and queries of a shard that come in several batches, or in one, or several shards in one, give the same rows."""
+    monkeypatch.setattr(search, "SHARD", 1 << 14)
+    want = sorted(search.top_k(docs, docs.filter("doc_id % 5 = 0"), k=4).collect(), key=repr)
+    monkeypatch.setattr(search, "PARTS", 2)
+    for rows in (3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            assert want == sorted(search.top_k(docs, docs.filter("doc_id % 5 = 0"), k=4).collect(), key=repr)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_search_by_more_queries_than_may_wait(spark, monkeypatch):
+    """Queries that are many times a shard are searched as they come, after those that came first."""
+    rows = [(i, " ".join(f"w{j % 41}" for j in range(i, i + 40))) for i in range(300)]
+    q = spark.createDataFrame(rows, "doc_id long, text string")
+    d = spark.createDataFrame(rows[:3] + [(7, None)], "doc_id long, text string").coalesce(1)
+    want = sorted(search.top_k(d, q, k=2).collect())
+    assert {r["query_id"] for r in want} == set(range(300))
+    monkeypatch.setattr(search, "SHARD", 1 << 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert want == sorted(search.top_k(d, q, k=2).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_search_disk_does_not_hold_every_copy_of_every_query(spark, monkeypatch):
     """A quarter of the texts as queries of 16 shards, each of which gets them all, and still no more than 4 times the texts
     on disk. Results are those of a single wave."""
