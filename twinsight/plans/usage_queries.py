@@ -15,6 +15,7 @@ from ..streaming.live import LiveStore
 from . import frames
 from . import text_queries  # noqa: F401 - registers the twin of stream_fold
 from .registry import ORACLE, query, table
+from .store import own_folder
 
 CAPS = Caps(per_caller_hour=1, per_caller_day=4, global_day=340, monthly_usd=5000.0)
 
@@ -197,7 +198,7 @@ def stream_rate_limit(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     path = f"{sf_dir}/events.parque[t]"  # a pattern, as the table may be one file
     claims = adapters.claims(spark.readStream.schema(events.schema).parquet(path))
-    name = f"decisions_{abs(hash(path))}"
-    q = decide(claims, CAPS).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).drop("ts")
+    at = own_folder(spark, "decisions")
+    out = decide(claims, CAPS)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows").drop("ts")
