@@ -96,7 +96,7 @@ changed AS (
 
 def _fold(spark, sf_dir):
     base, delta = frames.text_index(spark, sf_dir), I.latest(frames.delta(spark, sf_dir)).persist()
-    return base, delta, I.entries(delta)
+    return base, delta, I.entries(delta).persist()  # joined several times
 
 
 @query(f"WITH {_DELTA}, {O.index('folded')} SELECT term, df FROM df")
