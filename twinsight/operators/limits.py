@@ -20,9 +20,10 @@ def global_counts(claims: DataFrame) -> DataFrame:
     c = claims.withColumns({"day_key": F.date_trunc("day", "ts"), "minute_key": F.date_trunc("minute", "ts")})
     minutes = c.groupBy("day_key", "minute_key").agg(F.count("*").alias("n"))
     before = Window.partitionBy("day_key").orderBy("minute_key").rowsBetween(Window.unboundedPreceding, -1)
-    minutes = minutes.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).select("minute_key", "earlier")
+    minutes = minutes.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("minute_key").alias("m"), "earlier")
     within = F.row_number().over(Window.partitionBy("minute_key").orderBy("ts", "event_id"))
-    return c.withColumn("r", within).join(minutes, "minute_key").withColumn("global_n", (F.col("r") + F.col("earlier")).cast("long")).drop("r", "earlier", "day_key", "minute_key")
+    met = c.withColumn("r", within).join(minutes, F.col("minute_key").eqNullSafe(F.col("m")))  # an unknown time is a day of its own
+    return met.withColumn("global_n", (F.col("r") + F.col("earlier")).cast("long")).drop("r", "earlier", "day_key", "minute_key", "m")
 
 
 def fixed_windows(claims: DataFrame) -> DataFrame:
@@ -50,11 +51,11 @@ def verdicts(counted: DataFrame, caps: Caps = Caps()) -> DataFrame:
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     minutes = c.groupBy("month_key", "day_key", "minute_key").agg(F.sum("charged").alias("sum"))
     days = minutes.groupBy("month_key", "day_key").agg(F.sum("sum").alias("sum"))
-    days = days.select("day_key", F.coalesce(F.sum("sum").over(before("month_key").orderBy("day_key")), F.lit(0.0)).alias("days"))
+    days = days.select(F.col("day_key").alias("d"), F.coalesce(F.sum("sum").over(before("month_key").orderBy("day_key")), F.lit(0.0)).alias("days"))
     minutes = minutes.select("day_key", "minute_key", F.coalesce(F.sum("sum").over(before("day_key").orderBy("minute_key")), F.lit(0.0)).alias("minutes"))
-    earlier = minutes.join(days, "day_key").select("minute_key", (F.col("days") + F.col("minutes")).alias("earlier"))
+    earlier = minutes.join(days, F.col("day_key").eqNullSafe(F.col("d"))).select(F.col("minute_key").alias("m"), (F.col("days") + F.col("minutes")).alias("earlier"))
     within = F.sum("charged").over(before("minute_key").orderBy("ts", "event_id"))
-    c = c.join(earlier, "minute_key").withColumn("spend_before", F.round(F.col("earlier") + F.coalesce(within, F.lit(0.0)), 6)).drop("charged", "month_key", "day_key", "minute_key", "earlier")
+    c = c.join(earlier, F.col("minute_key").eqNullSafe(F.col("m"))).withColumn("spend_before", F.round(F.col("earlier") + F.coalesce(within, F.lit(0.0)), 6)).drop("charged", "month_key", "day_key", "minute_key", "m", "earlier")
     over = F.col("spend_before") >= caps.monthly_usd
     code = F.when(over, "BUDGET").when(hour | day, "RATE").when(all_, "BUDGET")
     message = F.when(over, "monthly budget reached").when(hour, f"rate limit: {caps.per_caller_hour}/hour").when(day, f"rate limit: {caps.per_caller_day}/day").when(all_, "daily budget reached")
