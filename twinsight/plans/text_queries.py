@@ -8,6 +8,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import index as I
 from ..operators import embedding, rules, tallies
+from ..operators.held import held
 from . import frames
 from . import oracle as O
 from .registry import query, table
@@ -95,8 +96,8 @@ changed AS (
 
 
 def _fold(spark, sf_dir):
-    base, delta = frames.text_index(spark, sf_dir), I.latest(frames.delta(spark, sf_dir)).persist()
-    return base, delta, I.entries(delta).persist()  # joined several times
+    base, delta = frames.text_index(spark, sf_dir), held(I.latest(frames.delta(spark, sf_dir)), "delta")
+    return base, delta, held(I.entries(delta), "new")  # joined several times
 
 
 @query(f"WITH {_DELTA}, {O.index('folded')} SELECT term, df FROM df")
@@ -127,7 +128,7 @@ def fold_upsert(spark, sf_dir):
 def fold_equals_rebuild(spark, sf_dir):
     base, delta, new = _fold(spark, sf_dir)
     folded = I.fold_frequency(I.document_frequency(base.entries), base.entries, new)
-    rebuilt = I.entries(I.upsert(frames.full_items(spark, sf_dir), delta)).persist()
+    rebuilt = held(I.entries(I.upsert(frames.full_items(spark, sf_dir), delta)), "rebuilt")
     terms = I.frequency_difference(folded, I.document_frequency(rebuilt)).agg(F.count("*").alias("different_terms"))
     a, b = I.fold_statistics(I.statistics(base.entries), base.entries, new), I.statistics(rebuilt).toDF("n2", "total2", "avg2")
     return terms.crossJoin(a.crossJoin(b).select((F.col("n") - F.col("n2")).alias("n_difference"), (F.abs(F.col("avg_len") - F.col("avg2")) < 1e-6).alias("same_length")))
